@@ -20,6 +20,7 @@ ignored; without any labelled document the result is empty.
 from __future__ import annotations
 
 import math
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,13 +35,15 @@ from veritab.llm.text import join_lines, token_words
 from veritab.shared import ensure_checkpoint_dir
 
 CHUNK = 8
+#: A line that opens with the number of a paragraph.
+PARAGRAPH = re.compile(r"\n\s*(?:¶ ?\d{1,3}|\[\d{1,3}\]|\(\d{1,3}\)|\d{1,3}(?:\.| -|  ))(?= )")
 
 
 def cut(text: str) -> list[list[str]]:
-    """Sentences as lists of words of three letters or more without digits."""
+    """Sentences as lists of words of three letters or more without digits; a numbered paragraph starts a new one."""
     out, now = [], []
-    for token in join_lines(text).split():
-        own, ends = _token(token)
+    for token in PARAGRAPH.sub(" ! ", join_lines(text)).split():
+        own, ends = _TOKENS[token]
         now.extend(own)
         if ends and now:
             out.append(now)
@@ -65,10 +68,6 @@ class _Tokens(dict):
 _TOKENS = _Tokens()
 
 
-def _token(token: str) -> tuple[tuple[str, ...], bool]:
-    return _TOKENS[token]
-
-
 @dataclass
 class Model:
     """What scoring needs; its size is bounded by the labelled sample, not by the corpus."""
@@ -281,11 +280,13 @@ def _blocking_rules(spark, model: Model, rows: list, index: dict[str, int]) -> N
     if not data:
         return
     frequent = dict(_frequent(spark.createDataFrame(data, "items array<string>"), 4))
-    rules = {
-        words - {"=bad"}: n / frequent[words - {"=bad"}]
-        for words, n in frequent.items()
-        if "=bad" in words and 2 <= len(words) <= 4 and n >= 4 and n / frequent[words - {"=bad"}] >= limit
-    }
+    rules = {}
+    for words, n in frequent.items():
+        frame = words - {"=bad"}
+        if "=bad" in words and 1 <= len(frame) <= 3 and n >= 6:
+            share = n / frequent[frame]
+            if share - 1.3 * math.sqrt(share * (1 - share) / frequent[frame]) >= limit:
+                rules[frame] = share
     model.blocks = {w for w in rules if not any(w - {x} in rules for x in w if len(w) > 1)}
     model.index()
 
