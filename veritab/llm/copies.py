@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from veritab.shared import ensure_checkpoint_dir
 
-BUCKETS = 64
+BUCKETS = 32
 
 
 def canonical(text: Column) -> Column:
@@ -71,7 +71,8 @@ class Ledger:
         )
         at = f"{self.folder}/version={len({*self.versions.values()})}-{uuid.uuid4().hex[:8]}"
         staged = f"{self.folder}/batch-{uuid.uuid4().hex[:8]}"
-        counted.write.partitionBy("bucket").parquet(staged)
+        counted.repartition("bucket").write.partitionBy("bucket").parquet(staged)
+        # one file for each bucket; the batch is read again for its buckets and for the join
         new = self.spark.read.schema("key string, n long, first long, bucket int").parquet(staged)
         touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most BUCKETS
         if not touched:
@@ -82,7 +83,7 @@ class Ledger:
             F.least("keep_id", "first").alias("keep_id"),
             "bucket",
         )
-        joined.write.partitionBy("bucket").parquet(at)
+        joined.repartition("bucket").write.partitionBy("bucket").parquet(at)
         self.versions.update({b: at for b in touched})
 
 
