@@ -15,7 +15,7 @@ def norm(v):
     if isinstance(v, bool):
         return v
     if isinstance(v, (int, float)) or type(v).__name__ == "Decimal":
-        return float(f"{float(v):.9g}")
+        return float(v) + 0.0
     if type(v).__name__ in ("Timestamp", "datetime"):
         return str(v)[:19]
     if isinstance(v, (list, tuple)):

@@ -123,9 +123,9 @@ P5_FOUND = r"""
 WITH v AS (
   SELECT record_id, employee_id, CASE WHEN lower(trim(department, chr(9) || chr(10) || chr(13) || ' ')) IN (@UNKNOWN@) THEN NULL ELSE department END AS dep,
     department IS NULL OR dep IS NULL AS d,
-    salary IS NULL OR isnan(salary) OR salary < 1 OR salary > 900000 OR regexp_full_match(salary::DECIMAL(20, 2)::VARCHAR, '9{3,}\.(00|99)') AND salary > 90000 AS s,
+    salary IS NULL OR isnan(salary) OR salary < 1 OR salary > 900000 OR salary IN (99999, 99999.99) AS s,
     performance_score IS NULL OR isnan(performance_score) OR performance_score <= 0 OR performance_score > 100 AS p,
-    bonus_amount IS NULL OR isnan(bonus_amount) OR bonus_amount < 0 OR bonus_amount > 900000 OR regexp_full_match(bonus_amount::DECIMAL(20, 2)::VARCHAR, '9{3,}\.(00|99)') AND bonus_amount > 90000 AS b
+    bonus_amount IS NULL OR isnan(bonus_amount) OR bonus_amount < 0 OR bonus_amount > 900000 OR bonus_amount IN (99999, 99999.99) AS b
   FROM employee_analytics),
 c AS (SELECT employee_id, dep, count(*) AS n FROM v WHERE dep IS NOT NULL GROUP BY ALL),
 st AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY employee_id ORDER BY n DESC, dep DESC) = 1)
