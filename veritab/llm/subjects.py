@@ -149,87 +149,86 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def _frequent(transactions: DataFrame, least: int) -> list[tuple[frozenset[str], int]]:
+def _frequent(transactions: DataFrame, least: int) -> dict[frozenset[str], int]:
     n = transactions.count()
     if not n:
-        return []
+        return {}
     found = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n)).fit(transactions).freqItemsets
-    return [(frozenset(r["items"]), int(r["freq"])) for r in found.collect()]
+    return {frozenset(r["items"]): int(r["freq"]) for r in found.toLocalIterator()}
 
 
 def fit(
     documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = "docket_no",
     subject_col: str = "subject", max_labelled: int = 20_000, min_docs: int = 3, threshold: float = 0.5,
 ) -> Model:
+    """The model; texts, sentences and transactions stay with the executors, only counts and rules reach the driver."""
     spark = documents.sparkSession
     ensure_checkpoint_dir(spark)
     own = labels.where(F.col(subject_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.array_sort(F.collect_set(subject_col)).alias("labels"))
     group = F.col(group_col).cast("string") if group_col else F.lit(None).cast("string")
-    docs = documents.select(F.col(id_col).alias("id"), group.alias("grp"), F.col(text_col).alias("text")).where(F.length(F.trim("text")) > 0)
+    grp = F.coalesce(group, F.concat(F.lit("#"), F.col(id_col).cast("string")))
+    docs = documents.select(F.col(id_col).alias("id"), grp.alias("grp"), F.col(text_col).alias("text")).where(F.length(F.trim("text")) > 0)
     # the labelled ids are the small side by nature; Spark decides by their size whether to broadcast them
-    sample = docs.join(own, "id").orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    rows = [
-        (r["id"], r["grp"] or f"#{r['id']}", r["labels"], cut(r["text"])) for r in sample.toLocalIterator()
-    ]  # bounded by max_labelled
-    subjects = sorted({s for r in rows for s in r[2]})
+    ids = docs.select("id").join(own, "id").select("id", "labels").orderBy(F.xxhash64("id"), "id").limit(max_labelled)
+    rows = docs.join(ids, "id").mapInPandas(_cut_rows, "grp string, labels array<string>, cut string").checkpoint()
+    subjects = [r["s"] for r in rows.select(F.explode("labels").alias("s")).distinct().orderBy("s").collect()]
     model = Model(subjects, threshold=threshold)
-    if not rows:
+    if not subjects:
         return model
     index = {s: k for k, s in enumerate(subjects)}
-    _topic_rules(spark, model, rows, index, min_docs)
-    _blocking_rules(spark, model, rows, index)
-    x, y = [], []
-    for _, _, own_labels, sentences in rows:
-        x.append(model.features(sentences))
-        y.append(np.array([s in own_labels for s in subjects], float))
-    model.weights = _logistic(np.concatenate(x), np.concatenate(y))
+    _topic_rules(model, rows, index, min_docs)
+    _blocking_rules(model, rows, index)
+    _calibrate(model, rows)
     return model
 
 
-def _topic_words(rows: list, subjects: list[str], min_docs: int) -> set[str]:
-    groups: dict[str, tuple[set[str], set[str]]] = {}
-    for _, grp, own, sentences in rows:
-        words, labels = groups.setdefault(grp, (set(), set()))
-        words.update(w for s in sentences for w in s)
-        labels.update(own)
-    n, n_s, n_w, n_ws = len(groups), defaultdict(int), defaultdict(int), defaultdict(int)
-    for words, labels in groups.values():
-        for s in labels:
-            n_s[s] += 1
-        for w in words:
-            n_w[w] += 1
-            for s in labels:
-                n_ws[w, s] += 1
-    out = set()
-    for (w, s), both in n_ws.items():
-        if both < min_docs or n_s[s] == n:
-            continue
-        conf, prior = both / n_w[w], n_s[s] / n
-        expected = n_w[w] * prior
-        chi = (both - expected) ** 2 / (expected * (1 - prior))
-        if conf >= 1.8 * prior and chi >= 12:
-            out.add(w)
-    return out
-
-
-def _topic_rules(spark, model: Model, rows: list, index: dict[str, int], min_docs: int) -> None:
-    topic = _topic_words(rows, model.subjects, min_docs)
-    seen, data, weight = set(), [], np.zeros(len(index))
-    for _, grp, own, sentences in rows:
-        mark = [f"={s}" for s in own]
-        for words in sentences:
-            items = list(dict.fromkeys(w for w in words if w in topic))
-            for k in range(0, max(1, len(items) - CHUNK // 2), CHUNK // 2):
-                part = items[k : k + CHUNK]
-                key = (grp, *sorted(part), *mark)
-                if part and key not in seen:
-                    seen.add(key)
-                    data.append((part + mark,))
-                    weight[[index[s] for s in own]] += 1
-    if not data:
+def _cut_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        cuts = ["\n".join(" ".join(s) for s in cut(t)) for t in pdf["text"]]
+        yield pd.DataFrame({"grp": pdf["grp"], "labels": pdf["labels"], "cut": cuts}, dtype=object)
+
+
+def _sentences(text: str) -> list[list[str]]:
+    return [s.split(" ") for s in text.split("\n")] if text else []
+
+
+def _topic_words(rows: DataFrame, min_docs: int) -> set[str]:
+    """Words that some label goes with; versions of one docket count once."""
+    words = rows.select("grp", F.explode(F.array_distinct(F.split("cut", "[ \n]"))).alias("w")).where(F.length("w") > 0).distinct()
+    labels = rows.select("grp", F.explode("labels").alias("s")).distinct()
+    n = rows.select("grp").distinct().count()
+    n_s = labels.groupBy("s").agg(F.count("*").alias("n_s"))
+    n_w = words.groupBy("w").agg(F.count("*").alias("n_w")).where(F.col("n_w") >= min_docs)
+    both = words.join(n_w.select("w"), "w", "left_semi").join(labels, "grp").groupBy("w", "s").agg(F.count("*").alias("both")).where(F.col("both") >= min_docs)
+    prior = F.col("n_s") / n
+    expected = F.col("n_w") * prior
+    chi = F.try_divide((F.col("both") - expected) ** 2, expected * (1 - prior))
+    found = both.join(n_w, "w").join(n_s, "s").where((F.col("n_s") < n) & (F.col("both") / F.col("n_w") >= 1.8 * prior) & (chi >= 12))
+    return {r["w"] for r in found.select("w").distinct().collect()}
+
+
+def _topic_rules(model: Model, rows: DataFrame, index: dict[str, int], min_docs: int) -> None:
+    topic = _topic_words(rows, min_docs)
+
+    def transactions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = set()
+            for grp, own, text in zip(pdf["grp"], pdf["labels"], pdf["cut"]):
+                mark = tuple(f"={s}" for s in own)
+                for words in _sentences(text):
+                    items = list(dict.fromkeys(w for w in words if w in topic))
+                    for k in range(0, max(1, len(items) - CHUNK // 2), CHUNK // 2):
+                        if part := items[k : k + CHUNK]:
+                            out.add((grp, (*sorted(part), *mark)))
+            yield pd.DataFrame({"grp": [g for g, _ in out], "items": [list(i) for _, i in out]}, dtype=object)
+
+    data = rows.mapInPandas(transactions, "grp string, items array<string>").distinct().checkpoint()
+    count = data.count()
+    if not count:
         return
-    prior = np.clip(weight / len(data), 1e-3, 1 - 1e-3)
-    frequent = dict(_frequent(spark.createDataFrame(data, "items array<string>"), max(min_docs, len(rows) // 2000)))
+    marks = {r["m"]: r["count"] for r in data.select(F.explode(F.filter("items", lambda x: x.startswith("="))).alias("m")).groupBy("m").count().collect()}
+    prior = np.clip(np.array([marks.get(f"={s}", 0) for s in model.subjects]) / count, 1e-3, 1 - 1e-3)
+    frequent = _frequent(data.select("items"), max(min_docs, rows.count() // 2000))
     conf: dict[frozenset[str], dict[int, tuple[float, int]]] = defaultdict(dict)
     for items, n in frequent.items():
         mark = [i for i in items if i[0] == "="]
@@ -249,37 +248,42 @@ def _topic_rules(spark, model: Model, rows: list, index: dict[str, int], min_doc
     model.index()
 
 
-def _blocking_rules(spark, model: Model, rows: list, index: dict[str, int]) -> None:
-    outcome, seen = [], set()
-    count: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    for _, grp, own, sentences in rows:
-        right = {index[s] for s in own}
-        for words in sentences:
-            found = model.evidence(words)
-            if not found:
-                continue
-            lead = max(found, key=lambda s: (found[s], -s))
-            rest = frozenset(words) - model.topic
-            if found[lead] < 1.5 or (grp, rest, lead) in seen:
-                continue
-            seen.add((grp, rest, lead))
-            bad = lead not in right
-            outcome.append((rest, bad))
-            for w in rest:
-                count[w][bad] += 1
-    if not outcome:
+def _blocking_rules(model: Model, rows: DataFrame, index: dict[str, int]) -> None:
+    def outcomes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = set()
+            for grp, own, text in zip(pdf["grp"], pdf["labels"], pdf["cut"]):
+                right = {index[s] for s in own}
+                for words in _sentences(text):
+                    found = model.evidence(words)
+                    if not found:
+                        continue
+                    lead = max(found, key=lambda s: (found[s], -s))
+                    if found[lead] >= 1.5:
+                        out.add((grp, " ".join(sorted(set(words) - model.topic)), lead, lead not in right))
+            yield pd.DataFrame(list(out), columns=["grp", "rest", "lead", "bad"])
+
+    found = rows.mapInPandas(outcomes, "grp string, rest string, lead int, bad boolean")
+    found = found.groupBy("grp", "rest", "lead").agg(F.bool_and("bad").alias("bad")).checkpoint()
+    base = found.agg(F.avg(F.col("bad").cast("double")).alias("b")).first()["b"]
+    if base is None:
         return
-    base = sum(bad for _, bad in outcome) / len(outcome)
     limit = max(0.5, min(0.9, 2.5 * base))
-    suspect = {w for w, (ok, bad) in count.items() if bad >= 4 and bad / (ok + bad) >= max(0.35, 1.8 * base)}
-    data = []
-    for rest, bad in outcome:
-        items = sorted(rest & suspect, key=lambda w: (-count[w][1], w))[:CHUNK]
-        if items:
-            data.append(([*items, "=bad"] if bad else items,))
-    if not data:
-        return
-    frequent = dict(_frequent(spark.createDataFrame(data, "items array<string>"), 4))
+    words = found.select(F.explode(F.split("rest", " ")).alias("w"), "bad").where(F.length("w") > 0)
+    counts = words.groupBy("w").agg(F.count_if("bad").alias("bad"), F.count("*").alias("all"))
+    counts = counts.where((F.col("bad") >= 4) & (F.col("bad") / F.col("all") >= max(0.35, 1.8 * base)))
+    order = {r["w"]: (-r["bad"], r["w"]) for r in counts.collect()}
+
+    def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for rest, bad in zip(pdf["rest"], pdf["bad"]):
+                items = sorted((w for w in rest.split(" ") if w in order), key=order.get)[:CHUNK]
+                if items:
+                    out.append([*items, "=bad"] if bad else items)
+            yield pd.DataFrame({"items": out}, dtype=object)
+
+    frequent = _frequent(found.select("rest", "bad").mapInPandas(frames, "items array<string>").checkpoint(), 4)
     rules = {}
     for words, n in frequent.items():
         frame = words - {"=bad"}
@@ -291,6 +295,20 @@ def _blocking_rules(spark, model: Model, rows: list, index: dict[str, int]) -> N
     model.index()
 
 
+def _calibrate(model: Model, rows: DataFrame) -> None:
+    """Logistic regression on the features of the labelled sample, which come as one block of numbers for each batch."""
+
+    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [np.c_[model.features(_sentences(t)), [s in own for s in model.subjects]] for own, t in zip(pdf["labels"], pdf["cut"])]
+            yield pd.DataFrame({"block": [np.concatenate(out).tobytes()] if out else []}, dtype=object)
+
+    blocks = [np.frombuffer(r["block"]).reshape(-1, 6) for r in rows.mapInPandas(features, "block binary").collect()]
+    x = np.concatenate(blocks)
+    x = x[np.lexsort(x.T)]  # the order of additions must not depend on the order of blocks
+    model.weights = _logistic(x[:, :5], x[:, 5])
+
+
 def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, subject, probability): the subjects of every document with text."""
     schema = "doc_id long, subject string, probability double"
