@@ -31,7 +31,7 @@ from veritab.shared import ensure_checkpoint_dir
 #: Texts that stand for an unknown value, in lower case without outer white space.
 UNKNOWN_TEXTS = (
     "", "-", "--", "---", ".", "..", "?", "??", "???", "#n/a", "n/a", "n.a.", "na", "nan", "nil", "none", "not available", "not given",
-    "not known", "not set", "null", "tba", "tbc", "tbd", "undefined", "unk", "unknown", "unspecified", "unassigned", "missing", "x", "xx", "xxx",
+    "not known", "not set", "null", "tba", "tbc", "tbd", "undefined", "unk", "unknown", "unspecified", "unassigned", "missing", "xx", "xxx",
 )
 
 
