@@ -25,6 +25,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritab.shared import ensure_checkpoint_dir
+
+#: Files whose delimiters may be broadcast (some 10 MB).
+MAX_BROADCAST_FILES = 100_000
 MISSING = frozenset(("", "NA", "N/A", "null", "NaN"))
 NUMBER = re.compile(r"-?[0-9]+(?:\.[0-9]+)?")
 DIGITS = re.compile(r"[0-9]+")
@@ -152,7 +156,12 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     headers = head.groupBy("file_name").agg(
         F.min_by(F.when(marks(";") > marks(","), ";").otherwise(","), F.struct("line_id")).alias("delimiter")
     )
-    # files are few beside their lines; Spark broadcasts them if their measured size allows it, else splits hot files
+    # a delimiter for each file: few rows beside the lines, and counted before they are broadcast, so that the lines need no
+    # shuffle; above the bound Spark joins by file and splits hot files
+    ensure_checkpoint_dir(lines.sparkSession)
+    headers = headers.checkpoint()
+    if headers.count() <= MAX_BROADCAST_FILES:
+        headers = F.broadcast(headers)
     rows = (
         lines.where(~F.col("line_no").eqNullSafe(F.lit(1))).select("line_id", "file_name", "line_no", "raw")
         .join(headers, "file_name", "left").fillna(",", ["delimiter"])
