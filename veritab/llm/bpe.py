@@ -37,6 +37,8 @@ SPLIT = (
     r"|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
 )
 NO_RANK = 2**31 - 1
+#: Hexadecimal digits from which a word is folded by all occurrences at once.
+LONG = 256
 BUCKETS = 1 << 15
 
 
@@ -122,7 +124,57 @@ def fold(word_hex: Column, ranks: Column) -> Column:
         )
 
     rounds = F.sequence(F.lit(1), F.greatest(F.length(word_hex) / 2 - 1, F.lit(1)).cast("int"))
-    return F.transform(F.aggregate(rounds, start, step, lambda s: s["t"]), lambda p: _lookup(ranks, p))
+    one_by_one = F.aggregate(rounds, start, step, lambda s: s["t"])
+    return F.transform(F.when(F.length(word_hex) > LONG, _fold_long(start, rounds, step, rank)).otherwise(one_by_one), lambda p: _lookup(ranks, p))
+
+
+def _fold_long(start: Column, rounds: Column, step, rank) -> Column:
+    """The fold of a long word: a round joins every occurrence of the lowest rank, left to right, if that equals joining them
+    one after the other - that is, if no pair that arises on the way or at the end ranks lower - and else only the first.
+    """
+    at = F.element_at
+
+    def all_of(state: Column, m: Column) -> Column:
+        t, r = state["t"], state["r"]
+        marks = F.array_join(F.transform(r, lambda x: F.when(x == m, "1").otherwise("0")), "")
+        # an occurrence that overlaps the one before it is void: of 111 the first and the last are joined
+        marks = F.split(F.concat(F.translate(F.replace(marks, F.lit("11"), F.lit("20")), "1", "2"), F.lit("00")), "")
+
+        def joined(k: Column) -> Column:
+            pieces = F.filter(
+                F.transform(
+                    F.sequence(F.lit(1), F.size(t)),
+                    lambda i: F.when((i > 1) & (at(k, F.greatest(i - 1, F.lit(1))) == "2"), F.lit(None)).otherwise(
+                        F.struct(
+                            F.when(at(k, i) == "2", F.concat(at(t, i), F.try_element_at(t, i + 1))).otherwise(at(t, i)).alias("t"),
+                            F.when((at(k, i) == "2") | (at(k, i + 1) == "2"), F.lit(-1)).otherwise(F.try_element_at(r, i)).alias("r"),
+                            F.when((at(k, i) == "2") & (i + 2 <= F.size(t)), rank(F.concat(at(t, i), F.try_element_at(t, i + 1)), F.try_element_at(t, i + 2)))
+                            .otherwise(F.lit(NO_RANK)).alias("passing"),
+                        )
+                    ),
+                ),
+                lambda x: x.isNotNull(),
+            )
+
+            def ranked(u: Column) -> Column:
+                new_r = F.transform(
+                    F.when(F.size(u) > 1, F.sequence(F.lit(1), F.size(u) - 1)).otherwise(F.array().cast("array<int>")),
+                    lambda i: F.when(at(u, i)["r"] == -1, rank(at(u, i)["t"], at(u, i + 1)["t"])).otherwise(at(u, i)["r"]),
+                )
+                lowest = F.least(F.coalesce(F.array_min(new_r), F.lit(NO_RANK)), F.array_min(F.transform(u, lambda x: x["passing"])))
+                return F.struct(F.transform(u, lambda x: x["t"]).alias("t"), new_r.alias("r"), (lowest < m).alias("differs"))
+
+            return _let(pieces, ranked)
+
+        return _let(
+            _let(marks, joined),
+            lambda n: F.when(n["differs"], step(state, F.lit(0))).otherwise(F.struct(n["t"].alias("t"), n["r"].alias("r"))),
+        )
+
+    def round_of(state: Column, _: Column) -> Column:
+        return _let(F.coalesce(F.array_min(state["r"]), F.lit(NO_RANK)), lambda m: F.when(m == NO_RANK, state).otherwise(all_of(state, m)))
+
+    return F.aggregate(rounds, start, round_of, lambda s: s["t"])
 
 
 def words(text: Column) -> Column:

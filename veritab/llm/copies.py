@@ -64,19 +64,16 @@ class Ledger:
         return self.spark.read.option("basePath", self.folder).schema("key string, copies long, keep_id long, version string, bucket int").parquet(*paths).drop("version")
 
     def add(self, batch: DataFrame, key: Column, id_col: str) -> None:
-        counted = (
-            batch.select(key.alias("key"), F.col(id_col).cast("long").alias("id"))
-            .groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-            .withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
-        )
-        at = f"{self.folder}/version={len({*self.versions.values()})}-{uuid.uuid4().hex[:8]}"
-        staged = f"{self.folder}/batch-{uuid.uuid4().hex[:8]}"
-        counted.repartition("bucket").write.partitionBy("bucket").parquet(staged)
-        # one file for each bucket; the batch is read again for its buckets and for the join
-        new = self.spark.read.schema("key string, n long, first long, bucket int").parquet(staged)
+        """Count a batch in."""
+        for counted in stage(batch, self.folder, key, id_col, F.lit(0)):
+            self._merge(counted)
+
+    def _merge(self, new: DataFrame) -> None:
+        """Add the counts of a staged batch to the buckets it touches."""
         touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most BUCKETS
         if not touched:
             return
+        at = f"{self.folder}/version={len({*self.versions.values()})}-{uuid.uuid4().hex[:8]}"
         joined = self.read(touched).join(new, ["bucket", "key"], "full_outer").select(
             "key",
             (F.coalesce("copies", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("copies"),
@@ -87,13 +84,29 @@ class Ledger:
         self.versions.update({b: at for b in touched})
 
 
+def stage(df: DataFrame, folder: str, key: Column, id_col: str, batch: Column) -> list[DataFrame]:
+    """The counts of all batches in one scan and one aggregate, written by batch and bucket; one DataFrame for each batch."""
+    staged = f"{folder}/staged-{uuid.uuid4().hex[:8]}"
+    counted = (
+        df.select(key.alias("key"), F.col(id_col).cast("long").alias("id"), batch.cast("long").alias("batch"))
+        .groupBy("batch", "key").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+        .withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
+    )
+    counted.repartition("bucket").write.partitionBy("batch", "bucket").parquet(staged)
+    rows = df.sparkSession.read.schema("key string, n long, first long, batch long, bucket int").parquet(staged)
+    found = [r["batch"] for r in rows.select("batch").distinct().orderBy(F.col("batch").asc_nulls_last()).collect()]
+    return [rows.where(F.col("batch").eqNullSafe(F.lit(b).cast("long"))).select("key", "n", "first", "bucket") for b in found]
+
+
 def ledger_of(df: DataFrame, key: Column, id_col: str, when: str, unit: str = "quarter") -> Ledger:
-    """The ledger after the batches of ``df`` in the order of their time; ``unit`` is the span of a batch."""
+    """The ledger after the batches of ``df`` in the order of their time; ``unit`` is the calendar span of a batch.
+
+    The table is scanned once whatever the number of batches; rows without a time are the last batch.
+    """
     ledger = Ledger.new(df.sparkSession)
-    span = F.date_trunc(unit, F.col(when).cast("timestamp"))
-    spans = [r["s"] for r in df.select(span.alias("s")).distinct().orderBy(F.col("s").asc_nulls_last()).collect()]  # calendar units
-    for s in spans:
-        ledger.add(df.where(span.eqNullSafe(F.lit(s).cast("timestamp"))), key, id_col)
+    span = F.unix_date(F.to_date(F.date_trunc(unit, F.col(when).cast("timestamp"))))
+    for counted in stage(df, ledger.folder, key, id_col, span):
+        ledger._merge(counted)
     return ledger
 
 
