@@ -176,6 +176,35 @@ def test_planted_leaks(spark):
     assert leak.leaks(df.where("1 = 0"), items).count() == 0 and leak.leaks(df, items.where("1 = 0")).count() == 0
 
 
+def test_leaks_of_repeated_passages(spark):
+    rng = random.Random(3)
+    parts = [" ".join(rng.choices(POOL, k=30)) for _ in range(3)]
+    twin = " ".join(rng.choices(POOL, k=60))
+    items = {1: twin, 2: twin.upper() + ".", 3: f"{parts[0]} {parts[1]}", 4: f"{parts[1]} {parts[2]}", 5: f"{parts[2]} {parts[0]}", 6: twin + " ending"}
+    docs = {1: f"x y z {twin} x y", 2: parts[0], 3: parts[1] + " q " + parts[2], 4: " ".join(twin.split()[:20])}
+    got = leak.leaks(spark.createDataFrame([*docs.items()], "doc_id long, text string"), spark.createDataFrame([*items.items()], "item_id long, passage string"))
+    want = {(1, 1), (1, 2), (1, 6), (2, 3), (2, 5), (3, 3), (3, 4), (3, 5)}
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
+def test_leak_candidates_lose_no_pair():
+    rng = random.Random(8)
+    stock = [" ".join(rng.choices(POOL, k=9)) for _ in range(3)]
+    passages = [" ".join(rng.choice([*stock, " ".join(rng.choices(POOL, k=rng.randint(2, 12)))]) for _ in range(rng.randint(1, 8))) for _ in range(30)]
+    found = leak.Passages([(i, x) for i, x in enumerate(passages)])
+    held = kept = 0
+    for _ in range(150):
+        own = rng.choice(passages).split()
+        cut = own[rng.randint(0, len(own) // 3) : rng.randint(len(own) // 2, len(own))]
+        text = " ".join(w if rng.random() > 0.12 else rng.choice(["foreign", "", rng.choice(POOL)]) for w in cut) + " far " * rng.randint(0, 30) + rng.choice(stock) + " " + rng.choice(passages)[:120]
+        ids = WordIds(found.vocab).of(text)
+        near = found.candidates(ids, 0.5)
+        for k, n in enumerate(leak.held_words([(w, ids) for w in found.words])):
+            held, kept = held + (2 * n >= len(found.words[k])), kept + (k in near)
+            assert 2 * n < len(found.words[k]) or k in near
+    assert 150 < held <= kept
+
+
 def test_words():
     assert words("Rep-\nlied, ISN'T­ it? Ａb​c") == ["replied", "isn", "t", "it", "abc"]
     ids = WordIds({"a": 1, "b": 2})

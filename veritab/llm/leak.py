@@ -7,7 +7,8 @@ Plan.
 2. The document frequency of each trigram is counted over all documents.  A trigram is *rare* if at most
    ``rare_share`` of the documents hold it, or at most four times as many as hold the median trigram of its passage:
    a stock sentence is common whatever the passage, the words of a much-copied passage are common together.
-3. Rare trigrams join documents to items; pairs with at least ``min_seeds`` distinct rare trigrams are candidates.
+3. Rare trigrams join documents to passages; pairs with at least ``min_seeds`` distinct rare trigrams are candidates.  A document's words are
+   kept if it may hold ``min_cover`` of some passage, trigrams of several passages included (``Passages.candidates``).
 4. Each candidate is aligned with affine-gap Smith-Waterman (match 1, mismatch -1, gap opening -2, extension 0, so that one
    path runs through several pieces).  A word counts as held if it lies in a run of one diagonal that has at least
    ``min_run`` right words, three of them one after another; single wrong words inside are included.  The item leaked if held / passage words >= ``min_cover``.
@@ -15,6 +16,8 @@ Plan.
 Passages are handled in blocks of ``block_items`` (a bound on what a task keeps in memory); all blocks are processed.
 The hits are written once (``checkpoint``) because the frequency count and the join both read them.
 
+Items with the same words are one passage; its rows are given for each of them.
+
 Defined results: null, empty or blank texts and passages give no rows; identical documents each give their rows; extra
 columns are ignored; an empty table gives an empty result.
 """
@@ -32,6 +35,7 @@ from veritab.llm.text import WordIds, words
 from veritab.shared import ensure_checkpoint_dir
 
 N = 3
+REACH = 8
 
 
 def _grams(ids: np.ndarray) -> np.ndarray:
@@ -44,27 +48,85 @@ def _grams(ids: np.ndarray) -> np.ndarray:
 
 
 class Passages:
-    """The searched passages: their words as ids and their trigrams as sorted codes."""
+    """The searched passages as classes of equal words, and their trigrams as sorted codes with the classes that hold them."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.vocab: dict[str, int] = {}
-        self.words: dict[int, np.ndarray] = {}
-        owners: dict[int, set[int]] = {}
+        self.words: list[np.ndarray] = []
+        self.members: list[list[int]] = []  # the item ids of each class
+        classes: dict[bytes, int] = {}
+        owners: dict[int, dict[int, int]] = {}
         for item, passage in items:
             ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(passage or "")], np.int32)
-            if len(ids):
-                self.words[item] = ids
-                for g in np.unique(_grams(ids)):
-                    owners.setdefault(int(g), set()).add(item)
+            if not len(ids):
+                continue
+            k = classes.setdefault(ids.tobytes(), len(self.words))
+            if k < len(self.words):
+                self.members[k].append(item)
+                continue
+            self.words.append(ids)
+            self.members.append([item])
+            for g, at in zip(*np.unique(_grams(ids), return_index=True)):
+                owners.setdefault(int(g), {})[k] = int(at)
         self.codes = np.array(sorted(owners), np.int64)
-        self.owners = [sorted(owners[int(c)]) for c in self.codes]
-        self.sole = np.array([o[0] if len(o) == 1 else -1 for o in self.owners], np.int64)
-
-    def seeds(self) -> list[tuple[int, int]]:
-        return [(i, item) for i, own in enumerate(self.owners) for item in own]
-
-
-def _shorten(passage: np.ndarray, doc: np.ndarray, reach: int = 8) -> np.ndarray:
+        self.owners = [owners[int(c)] for c in self.codes]
+        self.start = np.cumsum([0, *map(len, self.owners)])
+        self.own = np.array([k for o in self.owners for k in o], np.int64)
+        self.place = np.array([at for o in self.owners for at in o.values()], np.int64)
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.masks: list[dict[int, int]] = []  # of each class: the places of a word as bits
+        for ids in self.words:
+            mask: dict[int, int] = {}
+            for i, w in enumerate(ids.tolist()):
+                mask[w] = mask.get(w, 0) | 1 << i
+            self.masks.append(mask)
+
+    def common(self, k: int, doc: list[int]) -> int:
+        """Length of the longest common subsequence of class ``k`` and a document, the places of the passage as bits."""
+        mask, full = self.masks[k], (1 << int(self.size[k])) - 1
+        rest = full
+        for w in doc:
+            if m := mask.get(w, 0) & rest:
+                rest = ((rest + m) | (rest - m)) & full
+        return int(self.size[k]) - rest.bit_count()
+
+    def candidates(self, ids: np.ndarray, min_cover: float) -> list[int]:
+        """The classes of which a document may hold ``min_cover``, by two bounds that no alignment exceeds.
+
+        Held words lie within ``REACH`` words of shared trigrams, but for three foreign ones between two such stretches.  The best path
+        has right - wrong - 2 * gaps = score, hence held <= right + wrong <= 2 * right - score, where right is at most the longest
+        common subsequence and the score at least the longest run of right words.
+        """
+        codes = _grams(ids)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        pos = np.flatnonzero((self.codes[at] == codes) & (codes > 0))
+        if not len(pos):
+            return []
+        gram = at[pos]
+        n = self.start[gram + 1] - self.start[gram]
+        entry = np.repeat(self.start[gram] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        order = np.argsort(self.own[entry], kind="stable")
+        own, p = self.own[entry][order], np.repeat(pos, n)[order]
+        diagonal = self.place[entry][order] - p
+        step = np.diff(p)
+        new = np.r_[True, own[1:] != own[:-1]]
+        first = np.flatnonzero(new)
+        width = N + 2 * REACH
+        near = np.add.reduceat(np.where(new, width, np.r_[0, np.minimum(step, width + 3)]), first)
+        starts = np.flatnonzero(new | np.r_[True, (step != 1) | (np.diff(diagonal) != 0)])
+        run = np.maximum.reduceat(np.diff(np.r_[starts, len(p)]), np.searchsorted(starts, first)) + N - 1
+        need = min_cover * self.size[own[first]]
+        ends, out = np.r_[first[1:], len(p)], []
+        for x in np.flatnonzero(near >= need):
+            k = int(own[first[x]])
+            around = np.unique(p[first[x] : ends[x], None] + np.arange(-REACH, REACH + N))
+            around = around[(around >= 0) & (around < len(ids))]
+            if 2 * self.common(k, ids[around].tolist()) - run[x] >= need[x]:
+                out.append(k)
+        return out
+
+
+def _shorten(passage: np.ndarray, doc: np.ndarray, reach: int = REACH) -> np.ndarray:
     """The parts of ``doc`` that can hold runs of the passage, with three foreign words between them.
 
     A run has three right words one after another, so it lies about a shared trigram; ``reach`` words on either side stay.
@@ -154,7 +216,7 @@ def _trace(move, src_up, src_left, passage, doc, i: int, j: int, min_run: int) -
     return total + close()
 
 
-def _scan(found: Passages):
+def _scan(found: Passages, min_cover: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words_of = WordIds(found.vocab)
         for pdf in batches:
@@ -169,11 +231,9 @@ def _scan(found: Passages):
                 at = np.unique(at[found.codes[at] == codes])
                 if not len(at):
                     continue
-                sole = found.sole[at]
-                sole = sole[sole >= 0]
                 docs.append(doc)
                 hits.append(at.astype(np.int32))
-                kept.append(ids.tobytes() if len(sole) and np.unique(sole, return_counts=True)[1].max() >= N else None)
+                kept.append(ids.tobytes() if found.candidates(ids, min_cover) else None)
             yield pd.DataFrame({"doc_id": docs, "hits": hits, "words": kept}, dtype=object)
 
     return run
@@ -199,10 +259,10 @@ def _block(docs: DataFrame, found: Passages, min_cover: float, min_run: int, min
     spark = docs.sparkSession
     if not len(found.codes):
         return spark.createDataFrame([], "doc_id long, item_id long, cover double")
-    hits = docs.mapInPandas(_scan(found), "doc_id long, hits array<int>, words binary").checkpoint()
+    hits = docs.mapInPandas(_scan(found, min_cover), "doc_id long, hits array<int>, words binary").checkpoint()
     n_docs = docs.count()
     grams = hits.select("doc_id", F.explode("hits").alias("gram"))
-    seeds = spark.createDataFrame(found.seeds(), "gram int, item_id long")
+    seeds = spark.createDataFrame([(i, k) for i, own in enumerate(found.owners) for k in own], "gram int, item_id long")
     freq = seeds.join(grams.groupBy("gram").agg(F.count("*").alias("docs")), "gram", "left").fillna(0, ["docs"])
     usual = freq.groupBy("item_id").agg(F.percentile("docs", F.lit(0.5)).alias("usual"))
     rare = freq.join(usual, "item_id").where(
@@ -216,7 +276,7 @@ def _block(docs: DataFrame, found: Passages, min_cover: float, min_run: int, min
         .groupBy("doc_id").agg(F.collect_list("item_id").alias("items"))
     )
     texts = hits.where(F.col("words").isNotNull()).select("doc_id", "words")
-    passages = found.words
+    passages, members = found.words, found.members
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -229,7 +289,7 @@ def _block(docs: DataFrame, found: Passages, min_cover: float, min_run: int, min
                 k += step
                 for (d, i, _), n in zip(part, held_words([(passages[i], w) for _, i, w in part], min_run)):
                     if n >= min_cover * len(passages[i]):
-                        out.append((d, i, n / len(passages[i])))
+                        out += [(d, item, n / len(passages[i])) for item in members[i]]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "cover"])
 
     return texts.join(pairs, "doc_id").mapInPandas(align, "doc_id long, item_id long, cover double")
