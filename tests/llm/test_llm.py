@@ -187,6 +187,16 @@ def test_leaks_of_repeated_passages(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
 
 
+def test_leaks_of_a_much_copied_half(spark):
+    rng = random.Random(21)
+    passage = rng.choices(POOL, k=60)
+    docs = [(i, f"{i} own {i} " + " ".join(passage[:30]) + f" end {i}") for i in range(80)] + [(100, "other " * 20)]
+    got = leak.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(passage)), (2, "five right words in all")], "item_id long, passage string"))
+    assert {r["doc_id"] for r in got.collect()} == set(range(80))
+    short = spark.createDataFrame([(1, "so: Five right words in all!")], "doc_id long, text string")
+    assert [r["cover"] for r in leak.leaks(short, spark.createDataFrame([(2, "five right words in all")], "item_id long, passage string")).collect()] == [1.0]
+
+
 def test_leak_candidates_lose_no_pair():
     rng = random.Random(8)
     stock = [" ".join(rng.choices(POOL, k=9)) for _ in range(3)]

@@ -1,21 +1,17 @@
-"""Evaluation passages inside training documents: rare n-gram seeds, then Smith-Waterman alignment.
-
-Plan.
-
-1. One scan of the corpus.  Words are lower-cased letters and digits (line-end hyphens closed); words that no passage has
-   become 0, so a document is a short integer array.  Every document's word trigrams that some passage holds are its hits.
-2. The document frequency of each trigram is counted over all documents.  A trigram is *rare* if at most
-   ``rare_share`` of the documents hold it, or at most four times as many as hold the median trigram of its passage:
-   a stock sentence is common whatever the passage, the words of a much-copied passage are common together.
-3. Rare trigrams join documents to passages; pairs with at least ``min_seeds`` distinct rare trigrams are candidates.  A document's words are
-   kept if it may hold ``min_cover`` of some passage, trigrams of several passages included (``Passages.candidates``).
-4. Each candidate is aligned with affine-gap Smith-Waterman (match 1, mismatch -1, gap opening -2, extension 0, so that one
+"""Evaluation passages inside training documents: shared trigrams and exact bounds, then Smith-Waterman alignment.
+
+Plan.  One scan of the corpus, without a shuffle; whether a document leaks depends on itself and the passages alone.
+
+1. Words are lower-cased letters and digits (line-end hyphens closed); words that no passage has become 0, so a document is
+   a short integer array.  Its word trigrams that passages hold are counted for every passage that holds them, however
+   common they are.
+2. A passage is a candidate unless a bound on its held words, which no alignment exceeds, shows that it can't reach
+   ``min_cover`` (``Passages.candidates``).  The bounds lose no pair; they only save alignments.
+3. Each candidate is aligned with affine-gap Smith-Waterman (match 1, mismatch -1, gap opening -2, extension 0, so that one
    path runs through several pieces).  A word counts as held if it lies in a run of one diagonal that has at least
    ``min_run`` right words, three of them one after another; single wrong words inside are included.  The item leaked if held / passage words >= ``min_cover``.
 
 Passages are handled in blocks of ``block_items`` (a bound on what a task keeps in memory); all blocks are processed.
-The hits are written once (``checkpoint``) because the frequency count and the join both read them.
-
 Items with the same words are one passage; its rows are given for each of them.
 
 Defined results: null, empty or blank texts and passages give no rows; identical documents each give their rows; extra
@@ -32,7 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritab.llm.text import WordIds, words
-from veritab.shared import ensure_checkpoint_dir
 
 N = 3
 REACH = 8
@@ -216,80 +211,40 @@ def _trace(move, src_up, src_left, passage, doc, i: int, j: int, min_run: int) -
     return total + close()
 
 
-def _scan(found: Passages, min_cover: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words_of = WordIds(found.vocab)
-        for pdf in batches:
-            docs, hits, kept = [], [], []
-            for doc, text in zip(pdf["id"].to_numpy(), pdf["text"]):
-                ids = words_of.of(text)
-                codes = _grams(ids)
-                codes = codes[codes > 0]
-                if not len(codes):
-                    continue
-                at = np.minimum(np.searchsorted(found.codes, codes), len(found.codes) - 1)
-                at = np.unique(at[found.codes[at] == codes])
-                if not len(at):
-                    continue
-                docs.append(doc)
-                hits.append(at.astype(np.int32))
-                kept.append(ids.tobytes() if found.candidates(ids, min_cover) else None)
-            yield pd.DataFrame({"doc_id": docs, "hits": hits, "words": kept}, dtype=object)
-
-    return run
-
-
 def leaks(
     documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage",
-    min_cover: float = 0.5, min_run: int = 4, min_seeds: int = 4, rare_share: float = 0.002, block_items: int = 20_000,
+    min_cover: float = 0.5, min_run: int = 4, block_items: int = 20_000,
 ) -> DataFrame:
     """(doc_id, item_id, cover): every document that holds at least ``min_cover`` of an item's passage."""
     spark = documents.sparkSession
-    ensure_checkpoint_dir(spark)
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     held = items.select(F.col(item_col).cast("long"), F.col(passage_col)).where(F.col(passage_col).isNotNull())
     rows = [tuple(r) for r in held.distinct().orderBy(item_col).toLocalIterator()]
     out = spark.createDataFrame([], "doc_id long, item_id long, cover double")
     for k in range(0, len(rows), block_items):
-        out = out.union(_block(docs, Passages(rows[k : k + block_items]), min_cover, min_run, min_seeds, rare_share))
+        found = Passages(rows[k : k + block_items])
+        if len(found.codes):
+            out = out.union(docs.mapInPandas(_scan(found, min_cover, min_run), "doc_id long, item_id long, cover double"))
     return out
 
 
-def _block(docs: DataFrame, found: Passages, min_cover: float, min_run: int, min_seeds: int, rare_share: float) -> DataFrame:
-    spark = docs.sparkSession
-    if not len(found.codes):
-        return spark.createDataFrame([], "doc_id long, item_id long, cover double")
-    hits = docs.mapInPandas(_scan(found, min_cover), "doc_id long, hits array<int>, words binary").checkpoint()
-    n_docs = docs.count()
-    grams = hits.select("doc_id", F.explode("hits").alias("gram"))
-    seeds = spark.createDataFrame([(i, k) for i, own in enumerate(found.owners) for k in own], "gram int, item_id long")
-    freq = seeds.join(grams.groupBy("gram").agg(F.count("*").alias("docs")), "gram", "left").fillna(0, ["docs"])
-    usual = freq.groupBy("item_id").agg(F.percentile("docs", F.lit(0.5)).alias("usual"))
-    rare = freq.join(usual, "item_id").where(
-        F.col("docs") <= F.greatest(F.lit(rare_share * n_docs), 4 * F.col("usual"), F.lit(3.0))
-    )
-    pairs = (
-        hits.where(F.col("words").isNotNull()).select("doc_id", F.explode("hits").alias("gram"))
-        .join(rare.select("gram", "item_id"), "gram")
-        .groupBy("doc_id", "item_id").agg(F.count("*").alias("seeds"))
-        .where(F.col("seeds") >= min_seeds)
-        .groupBy("doc_id").agg(F.collect_list("item_id").alias("items"))
-    )
-    texts = hits.where(F.col("words").isNotNull()).select("doc_id", "words")
-    passages, members = found.words, found.members
-
-    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scan(found: Passages, min_cover: float, min_run: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words_of = WordIds(found.vocab)
         for pdf in batches:
-            todo = [(int(d), int(i), np.frombuffer(w, np.int32)) for d, w, of in zip(pdf["doc_id"], pdf["words"], pdf["items"]) for i in of]
+            todo = []
+            for doc, text in zip(pdf["id"].to_numpy(), pdf["text"]):
+                ids = words_of.of(text)
+                todo += [(int(doc), k, ids) for k in found.candidates(ids, min_cover)]
             todo.sort(key=lambda x: len(x[2]))  # pairs of like size advance together
             out, k = [], 0
             while k < len(todo):
                 step = max(1, min(256, 100_000 // (len(todo[min(k + 255, len(todo) - 1)][2]) + 1)))
                 part = todo[k : k + step]
                 k += step
-                for (d, i, _), n in zip(part, held_words([(passages[i], w) for _, i, w in part], min_run)):
-                    if n >= min_cover * len(passages[i]):
-                        out += [(d, item, n / len(passages[i])) for item in members[i]]
+                for (d, i, _), n in zip(part, held_words([(found.words[i], w) for _, i, w in part], min_run)):
+                    if n >= min_cover * len(found.words[i]):
+                        out += [(d, item, n / len(found.words[i])) for item in found.members[i]]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "cover"])
 
-    return texts.join(pairs, "doc_id").mapInPandas(align, "doc_id long, item_id long, cover double")
+    return run
