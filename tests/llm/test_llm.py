@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veritab.llm import bpe, copies, leak, quantiles, subjects
+from veritab.llm import bpe, catalog, copies, leak, quantiles, subjects
 from veritab.llm.text import WordIds, words
 
 # -- encoding ----------------------------------------------------------------------------------------------------------
@@ -73,6 +73,15 @@ def test_percentiles_by_group(spark):
     assert quantiles.percentiles_by_group(df.where("1 = 0"), "g", "d", "x").count() == 0
 
 
+def test_percentiles_take_departments_from_other_records(spark, tmp_path):
+    rows = [("e1", "Legal", "2024-01-01", 100.0), ("e1", " n/a ", "2024-01-02", 200.0), ("e1", None, "2024-01-03", 300.0), ("e2", None, "2024-01-01", 400.0), (None, "", "2024-01-01", 500.0), ("e1", None, "2024-01-03", 999999.0)]
+    df = spark.createDataFrame(rows, "employee_id string, department string, snapshot_day string, salary double")
+    df.selectExpr("employee_id", "department", "date(snapshot_day) AS snapshot_day", "salary").write.parquet(str(tmp_path / "employee_analytics.parquet"))
+    got = catalog.p2_percentiles(spark, str(tmp_path)).where("percentile = 0.5").collect()
+    assert {r["department"]: (r["n"], r["value"]) for r in got if r["snapshot_day"] is None} == {"Legal": (3, 200.0), None: (2, 400.0)}
+    assert len(got) == 2 + 4
+
+
 # -- copies ----------------------------------------------------------------------------------------------------------
 
 COPIES = "row_id long, order_id string, date string, product string, category string, revenue double, quantity long, unit_price double, received_at timestamp, key string, bucket int"

@@ -6,18 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.llm import bpe, copies, leak, quantiles, subjects
-from veritab.operators.impute import EMPLOYEES, real_number, real_text
+from veritab.operators.impute import EMPLOYEES, real_number, real_text, stated_by_holder
 from veritab.shared import table
 
 SALES_KEY = {"texts": ["order_id", "date"], "exchangeable": ["product", "category"], "exact": ["revenue", "quantity", "unit_price"]}
 
 
+def _salaries(rows: DataFrame) -> DataFrame:
+    """(department, snapshot_day, salary) of all records: a department that is absent comes from the employee's other records, else it is null."""
+    own = rows.select(
+        F.col(EMPLOYEES.holder).cast("string").alias("holder"), real_text("department").alias("department"), "snapshot_day", real_number(EMPLOYEES.numbers[0]).alias("salary")
+    )
+    kept = ["department", "snapshot_day", "salary"]
+    # only the records with a gap are joined
+    gaps = own.where(F.col("department").isNull()).drop("department").join(stated_by_holder(own, "holder", "department"), "holder", "left")
+    return own.where(F.col("department").isNotNull()).select(kept).unionByName(gaps.withColumnRenamed("stated", "department").select(kept))
+
+
 def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of real salaries per stated department, per snapshot_day (part) and over all days (part null)."""
-    rows = table(spark, sf_dir, "employee_analytics").select(
-        real_text("department").alias("department"), "snapshot_day", real_number(EMPLOYEES.numbers[0]).alias("salary")
-    ).where(F.col("department").isNotNull())
-    out = quantiles.percentiles_by_group(rows, "department", "snapshot_day", "salary")
+    """Percentiles of real salaries per department (null: none is known), per snapshot_day (part) and over all days (part null)."""
+    out = quantiles.percentiles_by_group(_salaries(table(spark, sf_dir, "employee_analytics")), "department", "snapshot_day", "salary")
     return out.select(F.col("grp").alias("department"), F.to_date("part").alias("snapshot_day"), "n", "percentile", "value", "rank_error")
 
 

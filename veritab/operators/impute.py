@@ -80,6 +80,12 @@ def real_text(column: str) -> Column:
     return F.when(~F.lower(text).isin(*UNKNOWN_TEXTS), text)
 
 
+def stated_by_holder(rows: DataFrame, holder: str, value: str) -> DataFrame:
+    """(holder, stated): the value that most of a holder's records state; holders without one have no row."""
+    counts = rows.where(F.col(holder).isNotNull() & F.col(value).isNotNull()).groupBy(holder, value).agg(F.count("*").alias("n"))
+    return counts.groupBy(holder).agg(F.max_by(value, F.struct("n", F.col(value))).alias("stated"))
+
+
 @dataclass
 class Mixture:
     """Parameters over standardised numbers; d numbers, K components."""
@@ -167,9 +173,7 @@ def _prepared(df: DataFrame, spec: Spec) -> tuple[DataFrame, list[str]]:
     known = rows.where(F.col("holder").isNotNull())
     means = known.groupBy("holder").agg(*aggs)
     if spec.fixed:
-        stated = known.where(F.col(f"r_{spec.fixed}").isNotNull()).groupBy("holder", f"r_{spec.fixed}").agg(F.count("*").alias("n"))
-        stated = stated.groupBy("holder").agg(F.max_by(f"r_{spec.fixed}", F.struct("n", F.col(f"r_{spec.fixed}"))).alias("stated"))
-        means = means.join(stated, "holder", "left")
+        means = means.join(stated_by_holder(known, "holder", f"r_{spec.fixed}"), "holder", "left")
     else:
         means = means.withColumn("stated", F.lit(None).cast("string"))
     rows = rows.join(means, "holder", "left")
