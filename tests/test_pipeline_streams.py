@@ -30,6 +30,20 @@ def test_run(spark, tmp_path):
         pipeline.run(spark, str(tmp_path / "none.csv"), str(tmp_path / "runs"))
 
 
+def test_run_uses_mechanisms_outliers_and_points(spark, tmp_path):
+    rows = [(f"GS-{i}", f"2024-{i % 2 + 1:02d}-05", "AB"[i // 30], None if i >= 30 and i % 2 else 10.0 + i % 7, 5000.0 if i == 4 else float(i % 9)) for i in range(60)]
+    df = spark.createDataFrame(rows, "order_id string, order_date string, region string, revenue double, cost double")
+    plan = {"kpis": [{"operation": {"function": "growth", "column": "cost", "over_column": "order_date", "period": "MoM"}}], "tests": ["trend"]}
+    out = pipeline.run(spark, df, str(tmp_path / "runs"), pipeline.Config(plan=plan))
+    events = [json.loads(x) for x in Path(out.folder, "events.jsonl").read_text().splitlines()]
+    steps = next(e["steps"] for e in events if e["kind"] == "clean")
+    assert ["flag_and_preserve", "revenue"] in steps and ["outlier_flag", "cost"] in steps
+    cleaned = spark.read.parquet(f"{out.folder}/cleaned/attempt=1")
+    assert cleaned.where("revenue IS NULL AND revenue_missing_flag").count() == 15 and cleaned.where("cost_outlier_flag").count() == 1
+    assert out.kpis[0]["value"] is not None and not [c for c in out.claims if c.kind == "TREND"]
+    assert "growth_MoM" in Path(out.folder, "report.html").read_text()
+
+
 def test_helpers():
     assert pipeline.first_json('text {bad {"a": {"b": 1}} more') == {"a": {"b": 1}} and pipeline.first_json("none") is None
     assert pipeline.domain(["employee_id", "salary", "x"]) == ("hr", 0.7) and pipeline.fmt(1234.5) == "1,234.50" and pipeline.fmt(None) == "n/a"

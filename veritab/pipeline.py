@@ -15,10 +15,12 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from veritab.operators import charts, cleaning, profiling, quality, statistics, verify
 from veritab.plans import compile as kpi
-from veritab.plans.ir import Plan, build_plan
+from veritab.plans.ir import Op, Plan, build_plan
 from veritab.sources import files
 
 #: Words that point to a domain.
@@ -146,10 +148,50 @@ def _findings(df: DataFrame, roles: dict[str, profiling.Role], cfg: Config) -> l
     of = lambda *names: [c for c, r in roles.items() if r.role in names and c in df.columns]
     rows = quality.validity(df, of("measure"), of("temporal"), [c for c in of("dimension", "free_text", "identifier") if df.schema[c].dataType.typeName() == "string"], cfg.as_of, cfg.negative_allowed)
     found = [("medium" if r["finding"].endswith(("future", "mixed_units")) else "high", r["finding"], r["rows"]) for r in rows.collect() if r["rows"]]
+    measures = of("measure")
+    found += [("medium", f"{r['column_name']}:outliers_iqr", r["outliers"]) for r in (quality.iqr_outliers(df, measures).collect() if measures else []) if r["outliers"]]
     repeats = profiling.duplicates(df).first()["duplicate_rows"]
     return found + ([("medium", "table:exact_duplicates", repeats)] if repeats else [])
 
 
+def _mechanisms(df: DataFrame, row_id: str) -> dict[str, str]:
+    """Why values of each column are missing (D8), by all columns of at most 20 values; MNAR only for numbers and at least 9 rows."""
+    columns = [c for c in df.columns if c != row_id]
+    rows = profiling.profile(df, columns).collect()
+    gaps = [r["column_name"] for r in rows if r["nulls"]]
+    few = [r["column_name"] for r in rows if r["distinct_values"] - (r["nulls"] > 0) <= 20]
+    if not gaps:
+        return {}
+    if not few:
+        df, few = df.withColumn("_all", F.lit(0)), ["_all"]
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)} if rows[0]["rows"] >= 9 else set()
+    found = quality.missing_mechanism(df, gaps, few, row_id).collect()
+    return {r["column_name"]: "MCAR" if r["mechanism"] == "MNAR" and r["column_name"] not in numeric else r["mechanism"] for r in found}
+
+
+def _trends(df: DataFrame, measures: list[str], times: list[str], evidence: verify.Evidence) -> list[dict]:
+    """Growth series, rolling means and seasonality of each measure over each time column, with their numbers of points."""
+    out = []
+    for m in measures:
+        for t in times:
+            for period in ("MoM", "YoY", "WoW"):
+                n = kpi.growth_series(df, Op("growth", column=m, over_column=t, period=period)).count()
+                if n:
+                    out.append({"test": f"growth_{period}", "measure": m, "over": t, "points": n, "evidence": evidence.add("trend", n)})
+            means = statistics.rolling_mean(df, m, t).orderBy("period").collect()
+            if len(means) >= 3:
+                season = statistics.seasonality(df, m, t).first()
+                out.append({"test": "rolling_mean", "measure": m, "over": t, "points": len(means), "latest": means[-1]["rolling_mean"], "evidence": evidence.add("trend", means[-1]["rolling_mean"])})
+                out.append({"test": "seasonality", "measure": m, "over": t, "points": len(means), "strength": season["strength"], "verdict": season["verdict"], "evidence": evidence.add("trend", season["strength"])})
+    return out
+
+
+def growth_points(df: DataFrame, op: Op) -> dict[str | None, int]:
+    """The number of periods with a growth, for each label."""
+    label = kpi.group_label(op.group_by) if op.group_by else F.lit(None).cast("string")
+    return {r["label"]: r["n"] for r in kpi.growth_series(df, op).groupBy(label.alias("label")).agg(F.count("*").alias("n")).collect()}
+
+
 def run(spark: SparkSession, source: DataFrame | str, root: str, cfg: Config = Config()) -> Run:  # noqa: B008
     folder = new_folder(root)
     log, began, took = Log(folder / "events.jsonl"), time.time(), {}
@@ -181,18 +223,31 @@ def run(spark: SparkSession, source: DataFrame | str, root: str, cfg: Config = C
 
         found = stage("quality", lambda: _findings(df, roles, cfg))
         log.event("gate", verdict=quality.gate([(s, f) for s, f, _ in found]), findings=found)
-        if quality.gate([(s, f) for s, f, _ in found]) != "passed":
-            df = stage("repair", lambda: cleaning.repair(df, of("measure"), of("temporal")))
+        broken = quality.gate([(s, f) for s, f, _ in found]) != "passed"
+
+        def order() -> tuple[DataFrame, dict[str, str]]:
+            """The table, repaired if need be, and the mechanisms, which need the order of its rows."""
+            rows = files.with_row_id(df.select("*"))
+            if broken:
+                rows = cleaning.repair(rows, of("measure"), of("temporal"), order="_row_id")
+                rows = spark.read.parquet(files.write_attempt(rows, str(folder / "repaired"), 1))
+                rows = files.with_row_id(rows.orderBy("_row_id").drop("_row_id"))
+            rows = spark.read.parquet(files.write_attempt(rows, str(folder / "ordered"), 1))
+            return rows.drop("_row_id"), _mechanisms(rows, "_row_id")
+
+        df, mechanisms = stage("repair", order)
+        log.event("missing", mechanisms=mechanisms)
 
         def clean() -> DataFrame:
             nonlocal df
             for attempt in range(1, cfg.rechecks + 1):
                 row = profiling.profile(df).collect()
-                missing = {r["column_name"]: (r["nulls"] / max(1, r["rows"]), "MCAR") for r in row}
+                missing = {r["column_name"]: (r["nulls"] / max(1, r["rows"]), mechanisms.get(r["column_name"], "MCAR")) for r in row}
                 now = _findings(df, roles, cfg)
                 negative = [f.split(":")[0] for _, f, _ in now if f.endswith(":negative")]
                 unsafe = [f.split(":")[0] for _, f, _ in now if f.endswith(":sql_suspected")]
-                strategy = cleaning.build_strategy({c: r.role for c, r in roles.items() if c in df.columns}, missing, negative, unsafe)
+                outliers = [f.split(":")[0] for _, f, _ in now if f.endswith(":outliers_iqr")]
+                strategy = cleaning.build_strategy({c: r.role for c, r in roles.items() if c in df.columns}, missing, negative, unsafe, outliers)
                 df = cleaning.execute(df, strategy)
                 df = spark.read.parquet(files.write_attempt(df, str(folder / "cleaned"), attempt))
                 log.event("clean", attempt=attempt, steps=[(s.action, s.column) for s in strategy.steps])
@@ -211,7 +266,7 @@ def run(spark: SparkSession, source: DataFrame | str, root: str, cfg: Config = C
             kpis.append({"kpi_id": r["kpi_id"], "name": names[r["kpi_id"]].name, "label": r["label"], "value": r["value"], "evidence": evidence.add(kind, r["value"], operation=op.key)})
         measures = [m for m in of("measure") if m in df.columns]
 
-        def suite() -> tuple[list, list, list]:
+        def suite() -> tuple[list, list, list, list]:
             cors = [{**c, "evidence": evidence.add("correlation", c["r"])} for c in statistics.correlation_tests(df, measures)] if "correlation" in plan.tests and len(measures) > 1 else []
             comps, descr = [], statistics.descriptive(df, measures).collect() if "descriptive" in plan.tests and measures else []
             dims = [d for d in of("dimension", "categorical") if d in df.columns and 2 <= facts[d]["distinct"] <= 50]
@@ -221,10 +276,13 @@ def run(spark: SparkSession, source: DataFrame | str, root: str, cfg: Config = C
                     if a["f"] is not None and a["df_within"]:
                         p = statistics.special.f_tail(a["f"], a["df_between"], a["df_within"])
                         comps.append({"measure": m, "dimension": d, "p": p, "evidence": evidence.add("comparison", a["f"])})
-            return cors, comps, [r.asDict() for r in descr]
+            times = [t for t in of("temporal") if t in df.columns]
+            series = _trends(df, measures, times, evidence) if "trend" in plan.tests else []
+            return cors, comps, [r.asDict() for r in descr], series
 
-        cors, comps, descr = stage("statistics", suite)
-        trends = [{"measure": names[k["kpi_id"]].op.column, "latest": k["value"], "points": 3, "evidence": k["evidence"]} for k in kpis if names[k["kpi_id"]].op.function == "growth" and k["value"] is not None]
+        cors, comps, descr, series = stage("statistics", suite)
+        points = stage("points", lambda: {k.kpi_id: growth_points(df, k.op) for k in plan.kpis if k.op.function == "growth" and any(x["kpi_id"] == k.kpi_id and x["value"] is not None for x in kpis)})
+        trends = [{"measure": names[k["kpi_id"]].op.column, "latest": k["value"], "points": points[k["kpi_id"]].get(k["label"], 0), "evidence": k["evidence"]} for k in kpis if names[k["kpi_id"]].op.function == "growth" and k["value"] is not None]
         claims, notes = verify.validate_claims(verify.draft_claims([k for k in kpis if evidence.entries[k["evidence"]]["kind"] == "kpi"], cors, comps, trends), evidence)
         log.event("claims", kept=len(claims), notes=notes)
 
@@ -246,7 +304,7 @@ def run(spark: SparkSession, source: DataFrame | str, root: str, cfg: Config = C
             "Overview": [f"Domain: {domain(df.columns)[0]}", f"Columns: {', '.join(f'{c} ({r.role})' for c, r in roles.items())}"],
             "Data quality": [f"{f}: {n} rows ({s})" for s, f, n in found] or ["No findings"],
             "KPIs": [f"{k['name']}{' / ' + k['label'] if k['label'] else ''}: {fmt(k['value'])} [{k['evidence']}]" for k in kpis],
-            "Statistics": [", ".join(f"{a}={fmt(b) if isinstance(b, float) else b}" for a, b in d.items()) for d in descr],
+            "Statistics": [", ".join(f"{a}={fmt(b) if isinstance(b, float) else b}" for a, b in d.items()) for d in [*descr, *series]],
             "Claims": [f"{c.text} [{', '.join(c.evidence)}]" for c in claims],
         }
         (folder / "report.html").write_text(verify.report("Analysis", sections, svg))
