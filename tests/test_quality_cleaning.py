@@ -129,3 +129,12 @@ def test_files(spark, tmp_path):
     with pytest.raises(ValueError):
         files.union_sheets([df, df.drop("v")])
     assert sorted(r["_row_id"] for r in files.with_row_id(df).collect()) == [0, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("encoding", ["latin-1", "utf-8", "utf-8-sig"])
+def test_encoding_by_the_whole_file(spark, tmp_path, encoding):
+    p = tmp_path / "late.csv"
+    p.write_bytes(("name;n\n" + "plain;1\n" * 400_000 + "Zoé;2\nZoë;3\n").encode(encoding))
+    assert files.dialect(str(p)) == (";", "ISO-8859-1" if encoding == "latin-1" else "UTF-8")
+    got = files.read_csv(spark, str(p))
+    assert got.columns == ["name", "n"] and {r["name"] for r in got.where("n > 1").collect()} == {"Zoé", "Zoë"}

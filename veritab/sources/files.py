@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import os
@@ -34,16 +35,24 @@ def validate_file(path: str, max_mb: float = 200, min_rows: int = 5) -> str | No
     return "min_rows" if rows < min_rows + 1 else None
 
 
+def is_utf8(path: str, block: int = 1 << 20) -> bool:
+    """Whether the whole file is UTF-8, read in blocks."""
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    with open(path, "rb") as f:
+        try:
+            while raw := f.read(block):
+                decoder.decode(raw)
+            decoder.decode(b"", final=True)
+        except UnicodeDecodeError:
+            return False
+    return True
+
+
 def dialect(path: str) -> tuple[str, str]:
-    """(separator, encoding) from the first line; latin-1 where UTF-8 fails in the first block."""
-    raw = open(path, "rb").read(1 << 16)
-    cut = raw[: raw.rfind(b"\n")] if b"\n" in raw else raw
-    try:
-        text, encoding = cut.decode("utf-8-sig"), "UTF-8"
-    except UnicodeDecodeError:
-        text, encoding = cut.decode("latin-1"), "ISO-8859-1"
-    first = text.split("\n", 1)[0]
-    return (";" if first.count(";") > first.count(",") else ","), encoding
+    """(separator, encoding): the separator by the first line, latin-1 where the file as a whole isn't UTF-8."""
+    with open(path, "rb") as f:
+        first = f.readline()  # both separators are one byte in either encoding
+    return (";" if first.count(b";") > first.count(b",") else ","), "UTF-8" if is_utf8(path) else "ISO-8859-1"
 
 
 def infer_types(df: DataFrame) -> DataFrame:
