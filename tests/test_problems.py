@@ -205,3 +205,13 @@ def test_sufficient_statistics_add_up():
 
 def test_empty_table(spark):
     assert impute.fill(spark.createDataFrame([], PEOPLE)).count() == 0
+
+
+def test_large_amounts_are_real_unless_shared(spark):
+    values = [1_234_567.5, 2_000_000.0, 950_000.0, 9_999_999.0, 99_999.0, -1.0, 0.0, float("inf"), float("nan"), None, 1e300]
+    rows = [(f"e{i}", v) for i, v in enumerate(values)] + [(f"f{i}", 7_777_777.0) for i in range(5)] + [("one", 3_000_000.0)] * 9
+    df = spark.createDataFrame(rows, "employee_id string, salary double")
+    n = impute.EMPLOYEES.numbers[0]
+    shared = impute.shared_values(df, (n,), "employee_id")["salary"]
+    got = {r["s"] for r in df.select(impute.real_number(n, shared).alias("s")).collect()}
+    assert shared == [7_777_777.0] and got == {1_234_567.5, 2_000_000.0, 950_000.0, 3_000_000.0, 1e300, None}

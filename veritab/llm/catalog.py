@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.llm import bpe, copies, leak, quantiles, subjects
-from veritab.operators.impute import EMPLOYEES, real_number, real_text, stated_by_holder
+from veritab.operators.impute import EMPLOYEES, real_number, real_text, shared_values, stated_by_holder
 from veritab.shared import table
 
 SALES_KEY = {"texts": ["order_id", "date"], "exchangeable": ["product", "category"], "exact": ["revenue", "quantity", "unit_price"]}
@@ -14,8 +14,10 @@ SALES_KEY = {"texts": ["order_id", "date"], "exchangeable": ["product", "categor
 
 def _salaries(rows: DataFrame) -> DataFrame:
     """(department, snapshot_day, salary) of all records: a department that is absent comes from the employee's other records, else it is null."""
+    salary = EMPLOYEES.numbers[0]
+    shared = shared_values(rows, (salary,), EMPLOYEES.holder)[salary.column]
     own = rows.select(
-        F.col(EMPLOYEES.holder).cast("string").alias("holder"), real_text("department").alias("department"), "snapshot_day", real_number(EMPLOYEES.numbers[0]).alias("salary")
+        F.col(EMPLOYEES.holder).cast("string").alias("holder"), real_text("department").alias("department"), "snapshot_day", real_number(salary, shared).alias("salary")
     )
     kept = ["department", "snapshot_day", "salary"]
     # only the records with a gap are joined

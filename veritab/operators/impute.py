@@ -1,7 +1,7 @@
 """Filling missing values from similar records with a mixture of Gaussians and categories, fitted by EM.
 
-1. *Stand-ins*: numbers outside their possible range, numbers of nines, and words that stand for "unknown" become null; masks
-   keep where.  A blank or NaN is null too.
+1. *Stand-ins*: numbers outside their possible range, numbers of nines, amounts above ``usual`` that many holders share, and
+   words that stand for "unknown" become null; masks keep where.  A blank or NaN is null too.  Amounts have no upper bound.
 2. *Own records*: a column that never changes for a holder (department) is filled from the holder's other records.
    The holder's leave-one-out means enter the mixture as further dimensions.
 3. *Mixture*: component k has a Gaussian over the numbers (logarithms of amounts, scores, tenure, time, the holder's
@@ -37,13 +37,18 @@ UNKNOWN_TEXTS = (
 
 @dataclass(frozen=True)
 class Number:
-    """A numeric column: possible range, whether 0 is possible, and whether it is an amount (modelled in logarithms)."""
+    """A numeric column: possible range, whether 0 is possible, whether it is an amount (modelled in logarithms), and what few values exceed.
+
+    Above ``usual`` a value that ``shared`` holders have is a stand-in; nines are one from a tenth of it on (of ``high`` without it).
+    """
 
     column: str
     low: float
     high: float
     zero: bool = False
     amount: bool = False
+    usual: float | None = None
+    shared: int = 5
 
 
 @dataclass(frozen=True)
@@ -59,19 +64,37 @@ class Spec:
 
 
 EMPLOYEES = Spec(
-    numbers=(Number("salary", 1, 900_000, amount=True), Number("performance_score", 0, 100), Number("bonus_amount", 0, 900_000, zero=True, amount=True)),
+    numbers=(Number("salary", 1, np.inf, amount=True, usual=900_000), Number("performance_score", 0, 100), Number("bonus_amount", 0, np.inf, zero=True, amount=True, usual=900_000)),
     categories=("department", "level"), holder="employee_id", fixed="department", helpers=("tenure_years",), time="snapshot_day",
     fill=("salary", "department", "performance_score", "bonus_amount"), holder_means=("salary", "performance_score", "bonus_amount"),
 )
 
 
-def real_number(n: Number) -> Column:
-    """The value, or null where it is absent or stands for an unknown one (out of range or written in nines only)."""
+def shared_values(df: DataFrame, numbers: tuple[Number, ...], holder: str) -> dict[str, list[float]]:
+    """For each number, the values above ``usual`` that at least ``shared`` holders have; one pass over the large values."""
+    out: dict[str, list[float]] = {n.column: [] for n in numbers if n.usual is not None}
+    parts = []
+    for n in numbers:
+        if n.usual is not None:
+            x = F.col(n.column).cast("double")
+            parts.append(F.when((x > n.usual) & ~F.isnan(x), F.struct(F.lit(n.column).alias("name"), x.alias("x"), F.lit(n.shared).alias("least"))))
+    if parts:
+        rows = df.select(F.col(holder).alias("holder"), F.explode(F.array_compact(F.array(*parts))).alias("u"))
+        found = rows.groupBy("u.name", "u.x", "u.least").agg(F.count_distinct("holder").alias("holders")).where(F.col("holders") >= F.col("least"))
+        for r in found.collect():
+            out[r["name"]].append(r["x"])
+    return out
+
+
+def real_number(n: Number, shared: list[float] = ()) -> Column:
+    """The value, or null where it is absent or stands for an unknown one (out of range, written in nines only, or one of ``shared``)."""
     x = F.col(n.column).cast("double")
-    nines = F.abs(x).cast("decimal(30,2)").cast("string").rlike(r"\A9{3,}(?:\.00|\.99)?\z") & (F.abs(x) > n.high / 10)
-    ok = ~F.isnan(x) & (x >= n.low) & (x <= n.high) & ~nines
+    nines = F.abs(x).try_cast("decimal(30,2)").cast("string").rlike(r"\A9{3,}(?:\.00|\.99)?\z") & (F.abs(x) > (n.usual or n.high) / 10)
+    ok = ~F.isnan(x) & (x >= n.low) & (x <= n.high) & (x < float("inf")) & ~F.coalesce(nines, F.lit(False))
     if not n.zero:
         ok = ok & (x != 0)
+    if shared:
+        ok = ok & ~x.isin(*shared)
     return F.when(ok, x)
 
 
@@ -165,7 +188,8 @@ class Mixture:
 
 def _prepared(df: DataFrame, spec: Spec) -> tuple[DataFrame, list[str]]:
     """Masks, cleaned values and the mixture's dimensions x_0, x_1, ... beside the given columns (all under one struct)."""
-    cols = {f"r_{n.column}": real_number(n) for n in spec.numbers} | {f"r_{c}": real_text(c) for c in spec.categories}
+    shared = shared_values(df, spec.numbers, spec.holder)
+    cols = {f"r_{n.column}": real_number(n, shared.get(n.column, ())) for n in spec.numbers} | {f"r_{c}": real_text(c) for c in spec.categories}
     rows = df.select(F.struct(*df.columns).alias("row"), *[v.alias(k) for k, v in cols.items()], F.col(spec.holder).cast("string").alias("holder"))
     for n in spec.numbers:
         rows = rows.withColumn(f"m_{n.column}", F.log1p(f"r_{n.column}") if n.amount else F.col(f"r_{n.column}"))
@@ -205,7 +229,7 @@ def fill(df: DataFrame, spec: Spec = EMPLOYEES, components: int = 6, steps: int
     ensure_checkpoint_dir(spark)
     rows, names = _prepared(df, spec)
     rows = rows.checkpoint()
-    scale = rows.agg(F.count("*").alias("n"), *[F.avg(x).alias(f"a_{x}") for x in names], *[F.stddev_pop(x).alias(f"d_{x}") for x in names]).first()
+    scale = rows.agg(F.count("*").alias("n"), *[F.avg(x).alias(f"a_{x}") for x in names], *[F.max(x).alias(f"t_{x}") for x in names], *[F.stddev_pop(x).alias(f"d_{x}") for x in names]).first()
     centre = np.array([scale[f"a_{x}"] if scale[f"a_{x}"] is not None else 0.0 for x in names])
     spread = np.array([scale[f"d_{x}"] or 1.0 for x in names])
     levels = []
@@ -228,7 +252,9 @@ def fill(df: DataFrame, spec: Spec = EMPLOYEES, components: int = 6, steps: int
         if abs(loglik - last) < tolerance:
             break
         last = loglik
-    return _filled(rows, df, spec, names, levels, centre, spread, model)
+    # no guess exceeds the largest real value
+    tops = {n.column: min(n.high, np.inf if scale[f"t_{x}"] is None else np.expm1(scale[f"t_{x}"]) if n.amount else n.high) for n, x in zip(spec.numbers, names)}
+    return _filled(rows, df, spec, names, levels, centre, spread, model, tops)
 
 
 def _statistics(rows, names, spec, levels, centre, spread, model) -> np.ndarray:
@@ -246,7 +272,7 @@ def _statistics(rows, names, spec, levels, centre, spread, model) -> np.ndarray:
     return np.array([r["value"] for r in sorted(parts.collect(), key=lambda r: r["at"])])
 
 
-def _filled(rows, df, spec, names, levels, centre, spread, model) -> DataFrame:
+def _filled(rows, df, spec, names, levels, centre, spread, model, tops) -> DataFrame:
     numbers = {n.column: (i, n) for i, n in enumerate(spec.numbers)}
     needed = list(dict.fromkeys([*names, "stated", *[f"r_{c}" for c in (*numbers, *spec.categories)]]))
 
@@ -264,7 +290,7 @@ def _filled(rows, df, spec, names, levels, centre, spread, model) -> DataFrame:
                 if col in numbers:
                     i, n = numbers[col]
                     guess = np.expm1(expected[:, i]) if n.amount else expected[:, i]
-                    value = real.astype(float).where(real.notna(), np.clip(np.round(guess, 2), n.low, n.high))
+                    value = real.astype(float).where(real.notna(), np.clip(np.round(guess, 2), n.low, tops[col]))
                     arrays.append(pa.array(value.to_numpy(), pa.float64(), from_pandas=True))
                 else:
                     j = spec.categories.index(col)
