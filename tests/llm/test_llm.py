@@ -49,17 +49,46 @@ def rank_gap(x, v, p):
 def test_summaries_keep_their_bound(shape):
     rng = np.random.default_rng(9)
     x = {"lognormal": rng.lognormal(10, 1, 20_000), "ties": rng.integers(0, 5, 20_000).astype(float), "two peaks": np.r_[rng.normal(0, 1, 9_000), rng.normal(90, 1, 11_000)], "few": np.array([3.0, 1.0])}[shape]
-    parts = [quantiles.Summary.of(a).compress(0.005) for a in np.array_split(x, 7) if len(a)]
-    s = quantiles._merged(parts, 0.005)
-    assert s.n == len(x) and (len(s.v) < 900 or shape == "lognormal") and len(s.v) <= 2000
+    parts = [quantiles.Summary.of(a).compress(0.002) for a in np.array_split(x, 70) if len(a)]
+    s = quantiles.merged(parts, 0.002, 0.01)
+    assert s.n == len(x) and len(s.v) <= 150
     error = s.rank_error() / s.n
-    assert error <= 0.02
+    assert error <= 0.01 + 1 / s.n
     for p in (0.01, 0.25, 0.5, 0.9, 0.999):
         assert rank_gap(x, s.quantile(p), p) <= error + 1e-12
     for v, lo, hi, slo, shi in zip(s.v, s.lo, s.hi, s.slo, s.shi):
         assert lo <= (x <= v).sum() <= hi and slo <= (x < v).sum() <= shi
 
 
+def test_merging_a_thousand_parts_compresses():
+    rng, eps = np.random.default_rng(2), quantiles.EPS
+    leaves, everything = [], []
+    for _ in range(1000):
+        x = rng.lognormal(10, 1.2, rng.integers(100, 6000))
+        everything.append(x)
+        leaf = quantiles._Leaf(eps * quantiles.LEAF)
+        leaf.add(x)
+        leaves.append(leaf.result())
+    s = quantiles.merged(leaves, eps * quantiles.LEAF, eps * quantiles.STORED)
+    assert len(s.v) <= 2000
+    days = quantiles.merged([s] * 365, eps * quantiles.STORED, eps)
+    assert len(days.v) <= 2000 and days.rank_error() <= eps * days.n + 1
+    x = np.concatenate(everything)
+    for p in quantiles.PERCENTILES:
+        assert rank_gap(x, s.quantile(p), p) <= s.rank_error() / s.n <= eps * quantiles.STORED + 1 / s.n
+
+
+def test_a_long_partition_is_rolled_up():
+    rng = np.random.default_rng(3)
+    leaf, everything = quantiles._Leaf(0.004), []
+    for _ in range(200):
+        everything.append(rng.normal(0, 1, 3000))
+        leaf.add(everything[-1])
+    s, x = leaf.result(), np.concatenate(everything)
+    assert leaf.rolled == 3 and s.rank_error() <= 0.004 * s.n + 1 and len(s.v) < 3000
+    assert rank_gap(x, s.quantile(0.5), 0.5) <= 0.004 + 1 / len(x)
+
+
 def test_percentiles_by_group(spark):
     rng = np.random.default_rng(1)
     rows = [("big", f"d{i % 3}", float(v), "clash") for i, v in enumerate(rng.lognormal(3, 1, 6000))]

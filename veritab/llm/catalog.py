@@ -31,6 +31,28 @@ def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("grp").alias("department"), F.to_date("part").alias("snapshot_day"), "n", "percentile", "value", "rank_error")
 
 
+def p2_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each answer of p2_percentiles held against the exact ranks of its value: whether they are within the stated error, and that within EPS."""
+    rows = _salaries(table(spark, sf_dir, "employee_analytics")).where(F.col("salary").isNotNull())
+    found = quantiles.percentiles_by_group(rows, "department", "snapshot_day", "salary")
+    days = found.where(F.col("part").isNotNull()).groupBy("grp", "part").agg(F.map_from_entries(F.collect_list(F.struct("percentile", "value"))).alias("v"))
+    whole = found.where(F.col("part").isNull()).groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("percentile", "value"))).alias("w"))
+    at = [F.lit(p) for p in quantiles.PERCENTILES]
+    own = rows.select(F.col("department").alias("g"), F.col("snapshot_day").cast("string").alias("d"), "salary")
+    joined = own.join(days, F.col("g").eqNullSafe(F.col("grp")) & F.col("d").eqNullSafe(F.col("part"))).drop("grp", "part").join(whole, F.col("g").eqNullSafe(F.col("grp")))
+    exact = [
+        joined.groupBy("g", *keys).agg(*[f(op(F.col("salary"), F.element_at(m, p))).alias(f"{k}{i}") for i, p in enumerate(at) for k, f, op in (("b", F.count_if, lambda a, b: a < b), ("t", F.count_if, lambda a, b: a <= b))])
+        for keys, m in ((["d"], "v"), ([], "w"))
+    ]
+    counts = exact[0].unionByName(exact[1].withColumn("d", F.lit(None).cast("string")))
+    long = counts.select("g", "d", F.explode(F.array(*[F.struct(p.alias("percentile"), F.col(f"b{i}").alias("below"), F.col(f"t{i}").alias("upto")) for i, p in enumerate(at)])).alias("c")).select("g", "d", "c.*").withColumnRenamed("percentile", "q")
+    both = found.join(long, F.col("grp").eqNullSafe(F.col("g")) & F.col("part").eqNullSafe(F.col("d")) & (F.col("percentile") == F.col("q")))
+    rank = F.greatest(F.lit(1), F.ceil(F.col("percentile") * F.col("n")))
+    off = F.greatest(F.col("below") + 1 - rank, rank - F.col("upto"), F.lit(0))
+    within = (off <= F.round(F.col("rank_error") * F.col("n"))) & (F.col("rank_error") <= quantiles.EPS + 1 / F.col("n"))
+    return both.select(F.col("grp").alias("department"), F.to_date("part").alias("snapshot_day"), "percentile", "n", within.alias("within"))
+
+
 def _ledger(spark: SparkSession, sf_dir: str):
     rows = table(spark, sf_dir, "sales_duplicates")
     key = copies.canonical_key(**SALES_KEY)
@@ -73,7 +95,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.sum("w"), 6).alias("weight"))
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p3_found, p3_records, p6_ids, p7_found, p8_found, p8_composition)}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_within, p3_found, p3_records, p6_ids, p7_found, p8_found, p8_composition)}
 
 _KEYS = r"""
 WITH k AS (SELECT *, regexp_replace(lower(upper(order_id)), '[^\p{L}\p{Nd}]', '', 'g') AS o, regexp_replace(lower(upper(date)), '[^\p{L}\p{Nd}]', '', 'g') AS d,
@@ -82,7 +104,22 @@ WITH k AS (SELECT *, regexp_replace(lower(upper(order_id)), '[^\p{L}\p{Nd}]', ''
 g AS (SELECT *, min(row_id) OVER w AS keep_id, count(*) OVER w AS copies FROM k WINDOW w AS (PARTITION BY o, d, pc, revenue, quantity, unit_price))
 """
 
+# stand-ins are told here by a rule of their own: not positive, written in nines only, or an odd amount of many employees above every payroll
+_P2 = r"""
+WITH big AS (SELECT salary FROM employee_analytics WHERE salary > 900000 GROUP BY salary HAVING count(DISTINCT employee_id) >= 5),
+v AS (SELECT employee_id, snapshot_day, CASE WHEN NOT isnan(salary) AND salary >= 1 AND isfinite(salary) AND salary NOT IN (SELECT salary FROM big)
+      AND NOT (salary > 90000 AND regexp_full_match(printf('%.2f', salary), '9{3,}\.(00|99)')) THEN salary END AS salary,
+    CASE WHEN regexp_full_match(lower(trim(department, ' ' || chr(9) || chr(10) || chr(13) || chr(160))),
+      '[-.?]{0,3}|#?n/?a|n\.a\.|nan|nil|none|null|not (available|given|known|set)|tb[acd]|undefined|unk(nown)?|unspecified|unassigned|missing|xxx?') THEN NULL ELSE department END AS department FROM employee_analytics),
+c AS (SELECT employee_id, department, count(*) AS n FROM v WHERE department IS NOT NULL GROUP BY ALL),
+st AS (SELECT employee_id, department AS stated FROM c QUALIFY row_number() OVER (PARTITION BY employee_id ORDER BY n DESC, department DESC) = 1),
+r AS (SELECT coalesce(department, stated) AS department, snapshot_day, salary FROM v LEFT JOIN st USING (employee_id) WHERE salary IS NOT NULL),
+g AS (SELECT department, snapshot_day, count(*) AS n FROM r GROUP BY department, snapshot_day UNION ALL SELECT department, NULL, count(*) FROM r GROUP BY department)
+SELECT department, snapshot_day, percentile, n, true AS within FROM g, (SELECT unnest([0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]::DOUBLE[]) AS percentile)
+"""
+
 SQL = {
+    "p2_within": _P2,
     "p3_found": _KEYS + "SELECT keep_id, row_id AS copy_id FROM g WHERE row_id <> keep_id",
     "p3_records": _KEYS + "SELECT row_id, copies, order_id, date, product, category, revenue, quantity, unit_price FROM g WHERE row_id = keep_id",
 }
