@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.operators import impute, load_profile
+from veritab.operators import cleaning, impute, load_profile
 from veritab.shared import table
 from veritab.sources import delimited
 
@@ -45,17 +45,45 @@ def p4_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    filled = impute.fill(table(spark, sf_dir, "employee_analytics"))
+    filled = impute.fill(table(spark, sf_dir, "employee_analytics"), keep=("record_id",))
     return impute.fills_long(filled, impute.EMPLOYEES, "record_id")
 
 
 def p5_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = impute.fill(table(spark, sf_dir, "employee_analytics"))
     fields = impute.EMPLOYEES.fill
+    out = impute.fill(table(spark, sf_dir, "employee_analytics"), keep=("record_id",))
     return out.select("record_id", *fields, *[f"{c}_filled" for c in fields])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_shift, p4_found, p4_rows, p5_found, p5_filled)}
+#: Of the records whose id leaves this remainder by 60, the known value of the field is hidden before the table is filled.
+HIDDEN = {"salary": 0, "performance_score": 20, "bonus_amount": 40}
+
+
+def p5_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filled values held against known ones that were hidden, and against the field's median as the plain guess."""
+    rows = table(spark, sf_dir, "employee_analytics")
+    spec = impute.EMPLOYEES
+    shared = impute.shared_values(rows, spec.numbers, spec.holder)
+    for n in spec.numbers:
+        real = impute.real_number(n, shared.get(n.column, ()))
+        hide = (F.col("record_id") % 60 == HIDDEN[n.column]) & real.isNotNull()
+        rows = rows.withColumn(f"known_{n.column}", F.when(hide, real)).withColumn(n.column, F.when(~hide, F.col(n.column)))
+    known = [f"known_{n.column}" for n in spec.numbers]
+    filled, found = impute.fitted(rows, keep=("record_id", *known))
+    medians = cleaning.medians(filled.select(*[F.when(~F.col(f"{n.column}_filled"), F.col(n.column)).alias(n.column) for n in spec.numbers]), [n.column for n in spec.numbers])
+    parts = [
+        F.when(F.col(f"known_{n.column}").isNotNull(), F.struct(
+            F.lit(n.column).alias("field_name"), F.abs(F.col(n.column) - F.col(f"known_{n.column}")).alias("off"),
+            F.abs(F.lit(medians[n.column]) - F.col(f"known_{n.column}")).alias("plain"),
+        ))
+        for n in spec.numbers
+    ]
+    errors = filled.select(F.explode(F.array_compact(F.array(*parts))).alias("e")).groupBy("e.field_name")
+    out = errors.agg(F.count("*").alias("hidden"), F.avg("e.off").alias("off"), F.avg("e.plain").alias("plain"))
+    return out.select("field_name", "hidden", (F.col("off") < F.col("plain")).alias("better_than_median"), F.lit(found.converged).alias("converged"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_shift, p4_found, p4_rows, p5_found, p5_filled, p5_recovery)}
 
 P1_FOUND = r"""
 WITH a AS (SELECT load_id, revenue, category, date, loaded_at FROM sales_demo UNION ALL SELECT 0, revenue, category, date, loaded_at FROM sales_reference),
@@ -119,20 +147,31 @@ SELECT line_id, CASE WHEN NOT good THEN 'quoting' WHEN n IS DISTINCT FROM 7 THEN
 FROM w WHERE reason IS NOT NULL
 """
 
-P5_FOUND = r"""
-WITH v AS (
-  SELECT record_id, employee_id, CASE WHEN lower(trim(department, chr(9) || chr(10) || chr(13) || ' ')) IN (@UNKNOWN@) THEN NULL ELSE department END AS dep,
-    department IS NULL OR dep IS NULL AS d,
-    salary IS NULL OR isnan(salary) OR salary < 1 OR salary > 900000 OR salary IN (99999, 99999.99) AS s,
-    performance_score IS NULL OR isnan(performance_score) OR performance_score <= 0 OR performance_score > 100 AS p,
-    bonus_amount IS NULL OR isnan(bonus_amount) OR bonus_amount < 0 OR bonus_amount > 900000 OR bonus_amount IN (99999, 99999.99) AS b
-  FROM employee_analytics),
-c AS (SELECT employee_id, dep, count(*) AS n FROM v WHERE dep IS NOT NULL GROUP BY ALL),
+# Stand-ins are told here by a rule of their own: outside what a column can hold, written in nines only, or an odd amount that many employees share.
+_P5 = r"""
+WITH big AS (SELECT 's' AS f, salary AS x FROM employee_analytics WHERE salary > 900000 GROUP BY salary HAVING count(DISTINCT employee_id) >= 5
+  UNION ALL SELECT 'b', bonus_amount FROM employee_analytics WHERE bonus_amount > 900000 GROUP BY bonus_amount HAVING count(DISTINCT employee_id) >= 5),
+v AS (
+  SELECT record_id, employee_id, department,
+    coalesce(regexp_full_match(lower(trim(department, ' ' || chr(9) || chr(10) || chr(13) || chr(160))),
+      '[-.?]{0,3}|#?n/?a|n\.a\.|nan|nil|none|null|not (available|given|known|set)|tb[acd]|undefined|unk(nown)?|unspecified|unassigned|missing|xxx?'), true) AS d,
+    coalesce(isnan(salary) OR salary < 1 OR isinf(salary) OR salary IN (SELECT x FROM big WHERE f = 's') OR (salary > 90000 AND regexp_full_match(printf('%.2f', salary), '9{3,}\.(00|99)')), true) AS s,
+    coalesce(isnan(performance_score) OR performance_score <= 0 OR performance_score > 100, true) AS p,
+    coalesce(isnan(bonus_amount) OR bonus_amount < 0 OR isinf(bonus_amount) OR bonus_amount IN (SELECT x FROM big WHERE f = 'b') OR (bonus_amount > 90000 AND regexp_full_match(printf('%.2f', bonus_amount), '9{3,}\.(00|99)')), true) AS b
+  FROM employee_analytics)
+"""
+
+P5_FOUND = _P5 + """,
+c AS (SELECT employee_id, department AS dep, count(*) AS n FROM v WHERE NOT d GROUP BY ALL),
 st AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY employee_id ORDER BY n DESC, dep DESC) = 1)
 SELECT record_id, 'department' AS field_name, coalesce(st.dep, '') AS fill_text FROM v LEFT JOIN st USING (employee_id) WHERE d
 UNION ALL SELECT record_id, 'salary', '' FROM v WHERE s
 UNION ALL SELECT record_id, 'performance_score', '' FROM v WHERE p
 UNION ALL SELECT record_id, 'bonus_amount', '' FROM v WHERE b
-""".replace("@UNKNOWN@", ", ".join("'" + t + "'" for t in impute.UNKNOWN_TEXTS))
+"""
+
+P5_RECOVERY = _P5 + " UNION ALL ".join(
+    f"SELECT '{f}' AS field_name, count(*) AS hidden, true AS better_than_median, true AS converged FROM v WHERE record_id % 60 = {k} AND NOT {c}" for (f, k), c in zip(HIDDEN.items(), "spb")
+)
 
-SQL = {"p1_found": P1_FOUND, "p1_profile": P1_PROFILE, "p4_found": P4_FOUND, "p5_found": P5_FOUND}
+SQL = {"p1_found": P1_FOUND, "p1_profile": P1_PROFILE, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_recovery": P5_RECOVERY}
