@@ -159,6 +159,39 @@ def test_ledger_grows_by_batches(spark):
     assert copies.Ledger.new(spark).read().count() == 0
 
 
+def test_ledger_goes_on_in_a_second_session(spark, tmp_path):
+    at = str(tmp_path / "ledger")
+    df = spark.createDataFrame([(i, f"key {i % 50}") for i in range(100, 300)], "i long, t string")
+    key = copies.canonical_key(["t"], [], [])
+    copies.Ledger.new(spark, at, buckets=8).add(df, key, "i")
+    other = spark.newSession()
+    ledger = copies.Ledger.open(other, at)
+    assert ledger.buckets == 8 and ledger.number == 1
+    ledger.add(other.createDataFrame([(7, "KEY 3"), (8, "key-200")], "i long, t string"), key, "i")
+    untouched = set(copies.Ledger.open(spark, at).versions.items())
+    again = {r["key"]: (r["copies"], r["keep_id"]) for r in copies.Ledger.open(spark, at).read().collect()}
+    assert len(again) == 51 and again["=key3|"] == (5, 7) and again["=key200|"] == (1, 8) and again["=key4|"] == (4, 104)
+    # a job that fails before its manifest is written changes nothing
+    broken = copies.Ledger.open(spark, at)
+    broken._commit = lambda: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        broken.add(df, key, "i")
+    after = copies.Ledger.open(spark, at)
+    assert set(after.versions.items()) == untouched
+    after.vacuum()
+    assert {r["key"]: (r["copies"], r["keep_id"]) for r in copies.Ledger.open(spark, at).read().collect()} == again
+    left = [p for p in os.listdir(at) if p != "manifest"]
+    assert {os.path.join(at, p) for p in left} == {v.removesuffix("/batch=0") for _, v in untouched}
+    assert copies.Ledger.open(spark, at).number == 2 and len(os.listdir(os.path.join(at, "manifest"))) == 1
+
+
+def test_ledger_of_many_batches(spark):
+    df = spark.createDataFrame([(i, f"k{i % 7}", datetime(2000 + i % 30, 1, 1)) for i in range(200)] + [(900, "k1", None)], "i long, t string, w timestamp")
+    ledger = copies.ledger_of(df, copies.canonical_key(["t"], [], []), "i", "w")
+    want = Counter(i % 7 for i in range(200)) + Counter([1])
+    assert {r["keep_id"]: r["copies"] for r in ledger.read().collect()} == dict(want)
+
+
 # -- leaks -----------------------------------------------------------------------------------------------------------
 
 POOL = [a + b for a in ("ba", "ke", "lo", "mi", "nu", "ra", "se", "ti", "vo", "za") for b in ("da", "fen", "gor", "hul", "jex", "kil", "lum", "mot", "ner", "pos")]
