@@ -51,6 +51,32 @@ def test_distance_against_brute_force(spark):
     assert row["skewness"] == pytest.approx((d**3).mean()) and row["kurtosis"] == pytest.approx((d**4).mean() - 3)
 
 
+def test_cells_of_parts_add_up(spark):
+    rng = np.random.default_rng(5)
+    ref = spark.createDataFrame([sale(0, float(x), "AB"[i % 2]) for i, x in enumerate(rng.integers(0, 50, 80))], SALES)
+    rows = spark.createDataFrame([sale(i % 2, float(x), "ABC"[i % 3]) for i, x in enumerate(rng.normal(30, 20, 120).round(1))], SALES)
+    measured = lp.measure(ref)
+    whole = lp.profile_of_cells(lp.cells_of(rows, measured), measured)
+    parts = [lp.cells_of(rows.where(F.col("revenue") > 30), measured), lp.cells_of(rows.where(~(F.col("revenue") > 30)), measured)]
+    merged = lp.profile_of_cells(lp.merge_cells(parts[0].unionByName(parts[1])), measured)
+    key = lambda r: (r["load_id"], r["column_name"])
+    assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, merged.collect()), key=str)
+    for r in whole.where("column_name = 'revenue'").collect():
+        assert r["least_distance"] <= r["distance"] + 1e-12 and r["inexact"] == 0, key(r)
+
+
+def test_distance_of_a_large_reference_is_within_its_error(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(lp, "MAX_BOUNDS", 50)
+    monkeypatch.setattr(lp, "QUANTILES", 40)
+    ref, own = rng.lognormal(0, 1, 900), rng.lognormal(0.3, 1, 300)
+    p = lp.profile(spark.createDataFrame([sale(1, float(x)) for x in own], SALES), spark.createDataFrame([sale(0, float(x)) for x in ref], SALES))
+    row = p.where("column_name = 'revenue'").first()
+    want = max(abs((own <= x).mean() - (ref <= x).mean()) for x in np.union1d(ref, own))
+    assert 0 < row["distance_error"] < 0.06 and abs(row["distance"] - want) <= row["distance_error"]
+    assert row["inexact"] == 300 and row["mean"] == pytest.approx(own.mean()) and row["sd"] == pytest.approx(own.std())
+
+
 def test_profile_of_awkward_tables(spark):
     wide = SALES + ", n long, column_name string, kind string, cell int"
     rows = [sale(None, None, None, None, (1, "x", "y", 2)), sale(1, 1e12, "A" * 100_000, "x" * 100_000, (1, "x", "y", 2))] * 2

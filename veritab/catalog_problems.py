@@ -11,7 +11,8 @@ from veritab.sources import delimited
 
 #: Fixed value: the shape of an e-mail address.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"
-PROFILED = ["order_id", "date", "product", "category", "revenue", "quantity", "customer_email"]
+PROFILED = ["order_id", "date", "product", "category", "revenue", "quantity", "customer_email", "loaded_at"]
+SHIFTS = (*load_profile.SALES_CHECKS, load_profile.Check("quantity", "number"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +30,11 @@ def p1_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far and which way each load's columns moved against the reference."""
     loads, reference = table(spark, sf_dir, "sales_demo"), table(spark, sf_dir, "sales_reference")
-    out = load_profile.profile(loads, reference)
-    keep = ["mean", "sd", "skewness", "kurtosis", "standardised_difference", "distance", "absent_share", "invalid_share"]
-    return out.select("load_id", "column_name", "rows", "absent", "invalid", "low", "high", *[F.round(c, 6).alias(c) for c in keep])
+    out = load_profile.profile(loads, reference, checks=SHIFTS)
+    keep = ["mean", "sd", "standardised_difference", "distance", "absent_share", "invalid_share"]
+    return out.select("load_id", "column_name", "rows", "absent", "invalid", "inexact", "low", "high", *[F.round(c, 6).alias(c) for c in keep])
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +113,23 @@ UNION ALL SELECT load_id, column_name, 'invalid' FROM j WHERE coalesce(inv / nul
 UNION ALL SELECT load_id, column_name, 'shifted' FROM dist WHERE load_id <> 0 AND x > lim
 """
 
+# quantity is measured beside the columns of p1_found
+_WITH = P1_FOUND[: P1_FOUND.index("j AS (SELECT f.*")].rstrip().rstrip(",")
+_WITH = _WITH.replace("SELECT load_id, revenue, category, date, loaded_at FROM sales_demo UNION ALL SELECT 0, revenue, category, date, loaded_at", "SELECT load_id, revenue, category, date, loaded_at, quantity FROM sales_demo UNION ALL SELECT 0, revenue, category, date, loaded_at, quantity")
+_WITH = _WITH.replace("  UNION ALL\n  SELECT load_id, 'category'", "  UNION ALL\n  SELECT load_id, 'quantity', quantity IS NULL, quantity < 0, quantity::DOUBLE, NULL FROM a\n  UNION ALL\n  SELECT load_id, 'category'", 1)
+
+P1_SHIFT = _WITH + """,
+m AS (SELECT load_id, column_name, sum(c)::DOUBLE AS n, sum(num * c) / sum(c) AS mean, min(num) AS low, max(num) AS high,
+  count(*) FILTER (column_name <> 'category' AND (abs(num) >= 1e9 OR round(num * 100) / 100 <> num)) AS odd FROM g GROUP BY ALL),
+w AS (SELECT g.load_id, g.column_name, sqrt(sum(c * pow(num - mean, 2)) / any_value(n)) AS sd FROM g JOIN m USING (load_id, column_name) GROUP BY ALL),
+o AS (SELECT load_id, column_name, coalesce(sum(c) FILTER (abs(num) >= 1e9 OR round(num * 100) / 100 <> num), 0)::BIGINT AS inexact FROM g GROUP BY ALL)
+SELECT f.load_id, f.column_name, f.n AS rows, f.ab AS absent, f.inv AS invalid, coalesce(o.inexact, 0) AS inexact, m.low, m.high, round(m.mean, 6) AS mean, round(w.sd, 6) AS sd,
+  round((m.mean - rm.mean) / nullif(sqrt((w.sd * w.sd + rw.sd * rw.sd) / 2), 0), 6) AS standardised_difference, round(x, 6) AS distance,
+  round(f.ab / f.n, 6) AS absent_share, round(coalesce(f.inv / nullif(f.n - f.ab, 0), 0), 6) AS invalid_share
+FROM f LEFT JOIN m USING (load_id, column_name) LEFT JOIN w USING (load_id, column_name) LEFT JOIN o USING (load_id, column_name) LEFT JOIN dist USING (load_id, column_name)
+LEFT JOIN m rm ON rm.load_id = 0 AND rm.column_name = f.column_name LEFT JOIN w rw ON rw.load_id = 0 AND rw.column_name = f.column_name WHERE f.load_id <> 0
+"""
+
 P1_PROFILE = r"""
 WITH v AS (
   SELECT load_id, 'order_id' AS column_name, order_id AS t, NULL::DOUBLE AS x FROM sales_demo
@@ -119,7 +138,8 @@ WITH v AS (
   UNION ALL SELECT load_id, 'category', category, NULL FROM sales_demo
   UNION ALL SELECT load_id, 'customer_email', customer_email, NULL FROM sales_demo
   UNION ALL SELECT load_id, 'revenue', revenue::VARCHAR, revenue FROM sales_demo
-  UNION ALL SELECT load_id, 'quantity', quantity::VARCHAR, quantity::DOUBLE FROM sales_demo)
+  UNION ALL SELECT load_id, 'quantity', quantity::VARCHAR, quantity::DOUBLE FROM sales_demo
+  UNION ALL SELECT load_id, 'loaded_at', loaded_at::VARCHAR, NULL FROM sales_demo)
 SELECT load_id, column_name, count(*) AS rows, count(*) FILTER (t IS NULL) AS nulls, count(*) FILTER (isnan(x)) AS nans,
   count(*) FILTER (regexp_full_match(t, '\s*')) AS blanks,
   count(*) FILTER (CASE column_name WHEN 'customer_email' THEN NOT regexp_full_match(t, '@EMAIL@') WHEN 'date' THEN NOT regexp_full_match(t, '[0-9]{4}-[0-9]{2}-[0-9]{2}')
@@ -174,4 +194,4 @@ P5_RECOVERY = _P5 + " UNION ALL ".join(
     f"SELECT '{f}' AS field_name, count(*) AS hidden, true AS better_than_median, true AS converged FROM v WHERE record_id % 60 = {k} AND NOT {c}" for (f, k), c in zip(HIDDEN.items(), "spb")
 )
 
-SQL = {"p1_found": P1_FOUND, "p1_profile": P1_PROFILE, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_recovery": P5_RECOVERY}
+SQL = {"p1_found": P1_FOUND, "p1_profile": P1_PROFILE, "p1_shift": P1_SHIFT, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_recovery": P5_RECOVERY}
