@@ -1,8 +1,12 @@
 """Load profiles, failing records and imputation: planted cases, brute force, and the awkward inputs."""
 
 import math
+import random
 import re
+import time
+from bisect import bisect_left, bisect_right
 from datetime import date, datetime
+from itertools import accumulate
 
 import numpy as np
 import pytest
@@ -112,23 +116,46 @@ def test_column_profile(spark):
 GOOD = "o,2024-01-01,p,c,1.5,2,e"
 
 
-@pytest.mark.parametrize(
-    ("raw", "reason"),
-    [
+def parse_record(raw, delimiter, columns=7):
+    """A record by itself, without anchors."""
+    text = (raw or "").removesuffix("\r") if raw else ""
+    try:
+        fields, _ = dl.Grammar(text, delimiter).record(0)
+    except dl.Broken as e:
+        return dl.Parsed(0, None, "quoting", e.at)
+    return dl.Parsed(0, fields, *(("columns", len(fields)) if len(fields) != columns else ()))
+
+
+REASONS = [
         (GOOD, None), (GOOD + "\r", None), (GOOD + "\r\r", None), ('"o","d","a ""b"" \n,","c","-1","007","e"\r', None), ("o,d,p,c,,NA,e", None), ("o,d,p,c, NaN ,null,e", None),
         ('o,d,"p,c,1,2,e', "quoting"), ('o,d,"p"x,c,1,2,e', "quoting"), ('o,d,p 12" w,c,1,2,e', "quoting"), ('o,d,"p" ,c,1,2,e', "quoting"), ('"', "quoting"), ('o,d,"p\r', "quoting"),
         ("o,d,p,c,1,2", "columns"), (GOOD + ",", "columns"), ("", "columns"), (None, "columns"), ("o;d;p;c;1;2;e", "columns"),
         ("o,d,p,c,1e5,2,e", "revenue"), ("o,d,p,c,1.,2,e", "revenue"), ("o,d,p,c,+1,2,e", "revenue"), ('o,d,p,c,"1,204.10",0,e', "revenue"), ("o,d,p,c,٣,2,e", "revenue"), ("o,d,p,c,\t1,2,e", "revenue"),
         ("o,d,p,c,1,0,e", "quantity"), ("o,d,p,c,1,100001,e", "quantity"), ("o,d,p,c,1,100000,e", None), ("o,d,p,c,1,-3,e", "quantity"), ("o,d,p,c,1,2.0,e", "quantity"), ("o,d,p,c,1," + "9" * 5000 + ",e", "quantity"),
-    ],
-)
+    ]
+
+
+@pytest.mark.parametrize(("raw", "reason"), REASONS)
 def test_reasons(raw, reason):
-    p = dl.parse_record(raw, ",")
+    p = parse_record(raw, ",")
     if p.reason is None:
         p.reason = "revenue" if not dl.revenue_of(p.fields[4])[1] else "quantity" if not dl.quantity_of(p.fields[5])[1] else None
     assert p.reason == reason
 
 
+def test_reasons_in_spark(spark):
+    """The same cases through both ways, built-in functions and grammar."""
+    df = spark.createDataFrame([(i, "f", i + 2, raw) for i, (raw, _) in enumerate(REASONS)], "line_id long, file_name string, line_no long, raw string")
+    got = {r["line_id"]: r for r in dl.parse_lines(df).collect()}
+    assert {i: r["reason"] for i, r in got.items()} == dict(enumerate(reason for _, reason in REASONS))
+    for i, (raw, reason) in enumerate(REASONS):
+        p = parse_record(raw, ",")
+        want = (dl.revenue_of(p.fields[4])[0], dl.quantity_of(p.fields[5])[0]) if reason is None else (None, None)
+        assert (got[i]["revenue"], got[i]["quantity"]) == want
+        if reason in ("quoting", "columns"):
+            assert got[i]["error_at"] == p.at
+
+
 FIELD = re.compile(r'"(?:[^"]|"")*"|[^",]*', re.S)
 
 
@@ -137,7 +164,7 @@ FIELD = re.compile(r'"(?:[^"]|"")*"|[^",]*', re.S)
 def test_grammar_against_a_regular_expression(raw):
     text = raw[:-1] if raw.endswith("\r") else raw
     good = re.fullmatch(rf"(?:{FIELD.pattern})(?:,(?:{FIELD.pattern}))*", text, re.S) is not None
-    p = dl.parse_record(raw, ",")
+    p = parse_record(raw, ",")
     assert (p.reason == "quoting") == (not good)
     if good:
         fields = [m[1] for m in re.finditer(rf",({FIELD.pattern})", "," + text, re.S)]
@@ -150,6 +177,41 @@ def test_stream_recovers_at_validated_anchors():
     assert got == [("o", None), (None, "quoting"), ("R3", None), ("R4", None), ("R5", "columns")]
 
 
+@settings(max_examples=300, deadline=None)
+@given(hs.lists(hs.text(alphabet='a",\n\r 1', max_size=12), max_size=6))
+def test_records_of_one_text_equal_single_ones(raws):
+    got = [(p.fields, p.reason, p.at) for p in dl.parse_records(raws, ",", 2)]
+    assert got == [(p.fields, p.reason, p.at) for p in (parse_record(r, ",", 2) for r in raws)]
+
+
+def test_many_broken_quotes_take_linear_time():
+    text = "\n".join(f'R{i},"open' if i % 2 else f"R{i},x" for i in range(40_000))
+    began = time.time()
+    got = dl.parse_stream(text, ",", 2, r"R\d+")
+    assert time.time() - began < 20 and sum(p.reason is None for p in got) == 20_000 and sum(p.reason == "quoting" for p in got) == 20_000
+
+
+@pytest.mark.parametrize("chunk", [30, 77, 1000])
+def test_files_in_chunks_equal_one_text(spark, chunk):
+    rng = random.Random(chunk)
+    raws = ["order_id,date,product,category,revenue,quantity,customer_email"]
+    for i in range(200):
+        raws.append(rng.choice([f"R{i},d,p,c,1.5,2,e", f'R{i},d,"p\n, {i}",c,1,2,e\r', f'R{i},d,"open,c,1,2,e', f'R{i},d,p 12" w,c,1,2,e', f"R{i},d", f'R{i},"d"x,p,c,1,2,e', "stray text", f"R{i},d,p,c,x,2,e"]))
+    rows = [(i, f, i + 1, r) for f in ("a", "b") for i, r in enumerate(raws)]
+    df = spark.createDataFrame(rows, "line_id long, file_name string, line_no long, raw string").repartition(3)
+    got = sorted((r["line_no"], r["reason"] or "", r["order_id"] or "", r["lines"]) for r in dl.parse_files(df, r"R\d+", chunk).where("file_name = 'a'").collect())
+    body = raws[1:]
+    starts = [0, *accumulate(len(r) + 1 for r in body)]
+    want = []
+    parsed = dl.parse_stream("\n".join(body), ",", 7, r"R\d+")
+    for p, after in zip(parsed, [*(q.start for q in parsed[1:]), starts[-1]]):
+        k = bisect_right(starts, p.start) - 1
+        reason, _, order, *_ = dl._typed(p)
+        want.append((k + 2, reason or "", order or "", bisect_left(starts, after) - k))
+    assert got == sorted(want)
+    assert dl.parse_files(df.where("1 = 0"), r"R\d+", chunk).count() == 0
+
+
 LINES = "line_id long, file_name string, line_no long, raw string, reason string, delimiter string"
 
 
