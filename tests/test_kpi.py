@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from veritab.plans import compile as kpi
+from veritab.plans import compile as kpi, recompute
 from veritab.plans.ir import blocked, build_plan, parse, validate
 from veritab.operators import verify
 
@@ -94,7 +94,7 @@ def test_failure_becomes_evidence(sales):
 def test_fused_equals_unfused_and_poison_is_found(sales):
     ops = [{"function": "sum", "column": "revenue", "group_by": ["category"]}, {"function": "mean", "column": "revenue", "filter": {"product": "a"}}, {"function": "max", "column": "date"}]
     plan = build_plan({"kpis": [{"operation": o} for o in ops]})
-    fused, plain = kpi.execute_plan(sales, plan), kpi.execute_unfused(sales, plan)
+    fused, plain = kpi.execute_plan(sales, plan), recompute.recompute(sales, plan)
     assert {r["status"] for r in verify.compare(fused, plain).collect()} == {"ok", "null"}
     poisoned = fused.withColumn("value", F.when(F.col("label") == "x", F.col("value") * 1.01).otherwise(F.col("value")))
     assert "mismatch" in {r["status"] for r in verify.compare(poisoned, plain).collect()}

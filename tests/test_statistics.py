@@ -33,13 +33,16 @@ def groups(spark):
 def test_groups(groups):
     two = groups.where("g in ('a', 'b')")
     w = st.welch(two, "x", "g", "a", "b").first()
+    assert w["p"] == pytest.approx(sp.t_two_sided(w["t"], w["df"])) and st.mann_whitney(two, "x", "g", "a", "b").first()["p"] == pytest.approx(2 / 924)
+    assert [n for n, _ in st.compare_groups(two, "x", "g")] == ["welch", "mann_whitney"] and [n for n, _ in st.compare_groups(groups, "x", "g")] == ["anova", "kruskal", "posthoc"]
+    assert st.compare_groups(groups.where("g = 'a'"), "x", "g") == [] and st.anova(groups.where("g = 'a'"), "x", "g").first()["p"] is None
     assert w["t"] == pytest.approx(-9.258201) and w["df"] == pytest.approx(10.0) and w["cohens_d"] < -5
     f = st.anova(two, "x", "g").first()
     assert f["f"] == pytest.approx(w["t"] ** 2) and f["df_within"] == 10
     u = st.mann_whitney(two, "x", "g", "a", "b").first()
     assert (u["u"], u["n_a"], u["n_b"], u["ties"]) == (0.0, 6, 6, 0.0)
     assert st.kruskal(two, "x", "g").first()["h"] == pytest.approx(8.307692)
-    pairs = st.posthoc_pairs(groups, "x", "g")
+    pairs = st.posthoc_pairs(groups, "x", "g").collect()
     assert [(p["a"], p["b"]) for p in pairs] == [("a", "b"), ("a", "c"), ("b", "c")] and all(p["p_adjusted"] >= p["p"] for p in pairs)
 
 

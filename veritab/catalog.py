@@ -5,11 +5,13 @@ The tables supplied for them are clean, so defects are planted by rules of the k
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.operators import charts, cleaning, profiling, quality, statistics, verify
-from veritab.plans import compile as kpi
+from veritab.plans import compile as kpi, recompute
 from veritab.plans.ir import build_plan, parse
 from veritab.shared import table
 from veritab.sources import files
@@ -142,6 +144,31 @@ def growth_grouped(spark, sf_dir):
     return _r(kpi.growth(table(spark, sf_dir, "orders"), op), 6)
 
 
+def _integral(density: str, upper: str) -> str:
+    """Simpson's rule from 0 to ``upper`` in SQL; ``u`` is the variable."""
+    at = f"(i * ({upper}) / 4000.0)"
+    return f"(SELECT sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {density.replace('$u', at)}) * ({upper}) / 12000.0 FROM range(4001) steps_(i))"
+
+
+# p-values by numerical integration or, for even degrees of freedom, by finite sums
+def _sql_t(t: str, v: str) -> str:
+    return f"round(greatest(0, 1 - 2 * exp(lgamma(({v} + 1) / 2) - lgamma({v} / 2)) / sqrt({v} * pi()) * {_integral(f'pow(1 + $u * $u / ({v}), -(({v}) + 1) / 2)', f'least(abs({t}), 40)')}), 6)"
+
+
+def _sql_normal(z: str) -> str:
+    return f"round(greatest(0, 1 - 2 / sqrt(2 * pi()) * {_integral('exp(-$u * $u / 2)', f'least({z}, 40)')}), 6)"
+
+
+def _sql_chi2(x: str, halves: int) -> str:
+    return "round(exp(-({x}) / 2) * (".format(x=x) + " + ".join(f"pow(({x}) / 2, {i}) / {math.factorial(i)}" for i in range(halves)) + "), 6)"
+
+
+def _p(df: DataFrame, places: int = 4) -> DataFrame:
+    """Rounded, the p-values to six places."""
+    own = [c for c in df.columns if c == "p" or c.startswith("p_")]
+    return _r(df.withColumns({c: F.round(F.lit(1) * F.col(c), 6).cast("decimal(12,6)") for c in own}), places).withColumns({c: F.col(c).cast("double") for c in own})
+
+
 # -- statistics --------------------------------------------------------------------------------------------------------
 
 
@@ -177,37 +204,39 @@ def seasonality_strength(spark, sf_dir):
 @query("""WITH g AS (SELECT o_orderstatus AS g, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY ALL),
 p AS (SELECT a.n AS na, a.m AS ma, a.v AS va, b.n AS nb, b.m AS mb, b.v AS vb FROM g a, g b WHERE a.g = 'F' AND b.g = 'O')
 SELECT round((ma - mb) / sqrt(va / na + vb / nb), 4) AS t, round(pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)), 4) AS df,
-round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 4) AS cohens_d FROM p""")
+round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 4) AS cohens_d, @P@ AS p FROM (SELECT *, (ma - mb) / sqrt(va / na + vb / nb) AS t, pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)) AS v FROM p)""".replace("@P@", _sql_t("t", "v")))
 def welch_t(spark, sf_dir):
-    return _r(statistics.welch(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderstatus", "F", "O"))
+    return _p(statistics.welch(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderstatus", "F", "O"))
 
 
 @query("""WITH g AS (SELECT c_mktsegment, count(*) AS n, avg(c_acctbal) AS m, var_samp(c_acctbal) AS v FROM customer GROUP BY ALL),
 s AS (SELECT count(*) AS k, sum(n)::DOUBLE AS n, sum(n * m) AS t, sum(n * m * m) AS q, sum((n - 1) * v) AS w FROM g)
-SELECT round(((q - t * t / n) / (k - 1)) / (w / (n - k)), 4) AS f, k - 1 AS df_between, (n - k)::BIGINT AS df_within, round((q - t * t / n) / (q - t * t / n + w), 6) AS eta_squared FROM s""")
+SELECT round(((q - t * t / n) / (k - 1)) / (w / (n - k)), 4) AS f, k - 1 AS df_between, (n - k)::BIGINT AS df_within, round((q - t * t / n) / (q - t * t / n + w), 6) AS eta_squared, round(pow(x, a) * (1 + a * (1 - x)), 6) AS p
+FROM (SELECT *, (n - k) / 2 AS a, (n - k) / ((n - k) + (q - t * t / n) / (w / (n - k))) AS x FROM s)""")
 def anova_f_eta2(spark, sf_dir):
     out = statistics.anova(table(spark, sf_dir, "customer"), "c_acctbal", "c_mktsegment")
-    return out.select(F.round("f", 4).alias("f"), "df_between", "df_within", F.round("eta_squared", 6).alias("eta_squared"))
+    return out.select(F.round("f", 4).alias("f"), "df_between", "df_within", F.round("eta_squared", 6).alias("eta_squared"), F.round("p", 6).alias("p"))
 
 
+_U_P = _sql_normal("(greatest(a.rs - a.n * (a.n + 1) / 2, a.n * b.n - a.rs + a.n * (a.n + 1) / 2) - a.n * b.n / 2 - 0.5) / sqrt(a.n * b.n / 12 * (a.n + b.n + 1 - ties / ((a.n + b.n) * (a.n + b.n - 1))))")
 _RANKS = "WITH r AS (SELECT c_mktsegment AS g, c_acctbal AS x, rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2.0 AS rk FROM customer{where}), t AS (SELECT sum(c * c * c - c)::DOUBLE AS ties FROM (SELECT count(*)::DOUBLE AS c FROM r GROUP BY x)), s AS (SELECT g, count(*)::DOUBLE AS n, sum(rk)::DOUBLE AS rs FROM r GROUP BY g)"
 
 
-@query(_RANKS.format(where="") + ", a AS (SELECT count(*) AS k, sum(n) AS n, sum(rs * rs / n) AS q FROM s) SELECT round((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * n * n - n)), 4) AS h, k - 1 AS df FROM a, t")
+@query(_RANKS.format(where="") + ", a AS (SELECT count(*) AS k, sum(n) AS n, sum(rs * rs / n) AS q FROM s) SELECT round((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * n * n - n)), 4) AS h, k - 1 AS df, " + _sql_chi2("(12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * n * n - n))", 2) + " AS p FROM a, t")
 def kruskal_h(spark, sf_dir):
-    return _r(statistics.kruskal(table(spark, sf_dir, "customer"), "c_acctbal", "c_mktsegment"))
+    return _p(statistics.kruskal(table(spark, sf_dir, "customer"), "c_acctbal", "c_mktsegment"))
 
 
-@query(_RANKS.format(where=" WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')") + " SELECT round(a.rs - a.n * (a.n + 1) / 2, 2) AS u, a.n::BIGINT AS n_a, b.n::BIGINT AS n_b, ties FROM s a, s b, t WHERE a.g = 'BUILDING' AND b.g = 'MACHINERY'")
+@query(_RANKS.format(where=" WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')") + " SELECT round(a.rs - a.n * (a.n + 1) / 2, 2) AS u, a.n::BIGINT AS n_a, b.n::BIGINT AS n_b, ties, " + _U_P + " AS p FROM s a, s b, t WHERE a.g = 'BUILDING' AND b.g = 'MACHINERY'")
 def mannwhitney_u(spark, sf_dir):
-    return _r(statistics.mann_whitney(table(spark, sf_dir, "customer"), "c_acctbal", "c_mktsegment", "BUILDING", "MACHINERY"), 2)
+    return _p(statistics.mann_whitney(table(spark, sf_dir, "customer"), "c_acctbal", "c_mktsegment", "BUILDING", "MACHINERY"), 2)
 
 
 @query("""WITH c AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*)::DOUBLE AS o FROM orders GROUP BY ALL), m AS (SELECT *, sum(o) OVER (PARTITION BY a) AS ra, sum(o) OVER (PARTITION BY b) AS rb, sum(o) OVER () AS n FROM c),
 s AS (SELECT sum(pow(o - ra * rb / n, 2) / (ra * rb / n)) AS x, max(n) AS n, count(DISTINCT a) AS ka, count(DISTINCT b) AS kb FROM m)
-SELECT round(x, 4) AS chi2, (ka - 1) * (kb - 1) AS df, round(sqrt(x / (n * (least(ka, kb) - 1))), 4) AS cramers_v, n::BIGINT AS n FROM s""")
+SELECT round(x, 4) AS chi2, (ka - 1) * (kb - 1) AS df, round(sqrt(x / (n * (least(ka, kb) - 1))), 4) AS cramers_v, n::BIGINT AS n, @P@ AS p FROM s""".replace("@P@", _sql_chi2("x", 4)))
 def chi2_cramers_v(spark, sf_dir):
-    return _r(statistics.chi_squared(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority"))
+    return _p(statistics.chi_squared(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority"))
 
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS count FROM orders GROUP BY ALL")
@@ -223,18 +252,45 @@ def corr_matrix_long(spark, sf_dir):
     return _r(statistics.correlation_matrix(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
 
 
-@query()
+_MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _pearson(a: str, b: str) -> str:
+    return (
+        f"SELECT '{a}' AS a, '{b}' AS b, round(r, 4) AS r, n, {_sql_t('r * sqrt((n - 2) / (1 - r * r))', '(n - 2)::DOUBLE')} AS p, round(tanh(atanh(r) - 1.96 / sqrt(n - 3)), 4) AS low, round(tanh(atanh(r) + 1.96 / sqrt(n - 3)), 4) AS high, "
+        f"round(r * r, 4) AS effect FROM (SELECT corr({a}, {b}) AS r, count(*) AS n FROM lineitem)"
+    )
+
+
+@query(" UNION ALL ".join(_pearson(a, b) for a, b in _PAIRS if a != b))
 def correlation_tests(spark, sf_dir):
-    """Pearson with p-values and intervals; a handful of rows from one aggregate."""
-    rows = statistics.correlation_tests(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
-    data = [(x["a"], x["b"], x["r"], x["n"], x["p"], *(x["interval"] or (None, None)), x["effect"]) for x in rows]
-    return spark.createDataFrame(data, "a string, b string, r double, n long, p double, low double, high double, effect double")
+    return _p(statistics.correlation_tests(table(spark, sf_dir, "lineitem"), _MEASURES))
 
 
-@query()
+@query("""WITH r AS (SELECT rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0 AS a, rank() OVER (ORDER BY day(o_orderdate)) + (count(*) OVER (PARTITION BY day(o_orderdate)) - 1) / 2.0 AS b FROM orders),
+s AS (SELECT corr(a::DOUBLE, b::DOUBLE) AS r, count(*) AS n FROM r)
+SELECT 'o_totalprice' AS a, 'day' AS b, round(r, 4) AS r, n, @P@ AS p, round(tanh(atanh(r) - 1.96 / sqrt(n - 3)), 4) AS low, round(tanh(atanh(r) + 1.96 / sqrt(n - 3)), 4) AS high, round(r * r, 4) AS effect FROM s""".replace("@P@", _sql_t("r * sqrt((n - 2) / (1 - r * r))", "(n - 2)::DOUBLE")))
+def spearman_tests(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_totalprice", F.dayofmonth("o_orderdate").alias("day"))
+    return _p(statistics.correlation_tests(rows, ["o_totalprice", "day"], "spearman"))
+
+
+@query("""WITH c AS (SELECT c_mktsegment AS g, c_acctbal AS x FROM customer), d AS (SELECT DISTINCT g FROM c), pr AS (SELECT p.g AS ga, q.g AS gb FROM d p JOIN d q ON p.g < q.g),
+k AS (SELECT ga, gb, g, x, rank() OVER (PARTITION BY ga, gb ORDER BY x) + (count(*) OVER (PARTITION BY ga, gb, x) - 1) / 2.0 AS rk FROM pr JOIN c ON g IN (ga, gb)),
+ti AS (SELECT ga, gb, sum(n * n * n - n)::DOUBLE AS ties FROM (SELECT ga, gb, count(*)::DOUBLE AS n FROM k GROUP BY ga, gb, x) GROUP BY ALL), s AS (SELECT ga, gb, g, count(*)::DOUBLE AS n, sum(rk)::DOUBLE AS rs FROM k GROUP BY ALL),
+o AS (SELECT a.ga, a.gb, a.rs - a.n * (a.n + 1) / 2 AS u, @P@ AS p FROM s a JOIN s b ON a.ga = b.ga AND a.gb = b.gb AND a.g = a.ga AND b.g = b.gb JOIN ti ON ti.ga = a.ga AND ti.gb = a.gb)
+SELECT ga AS a, gb AS b, round(u, 4) AS u, p, round(least(1, p * (SELECT count(*) FROM pr)), 4) AS p_adjusted FROM o""".replace("@P@", _U_P))
 def posthoc_pairs(spark, sf_dir):
-    rows = statistics.posthoc_pairs(table(spark, sf_dir, "customer"), "c_acctbal", "c_mktsegment")
-    return spark.createDataFrame([(r["a"], r["b"], float(r["u"]), r["p"], r["p_adjusted"]) for r in rows], "a string, b string, u double, p double, p_adjusted double")
+    out = _p(statistics.posthoc_pairs(table(spark, sf_dir, "customer"), "c_acctbal", "c_mktsegment"))
+    return out.withColumn("p_adjusted", F.round("p_adjusted", 4))
+
+
+@query(f"""WITH m AS (SELECT 'MoM' AS kind, strftime(o_orderdate, '%Y-%m') AS period, year(o_orderdate) * 12 + month(o_orderdate) AS k, sum(o_totalprice) AS v FROM orders GROUP BY ALL),
+w AS (SELECT isoyear(o_orderdate) || '-W' || lpad(weekofyear(o_orderdate)::VARCHAR, 2, '0') AS period, isoyear(o_orderdate) * 100 + weekofyear(o_orderdate) AS k, sum(o_totalprice) AS v FROM orders GROUP BY ALL),
+g AS (SELECT 'MoM' AS kind, period, v / lag(v) OVER (ORDER BY k) - 1 AS growth FROM m UNION ALL SELECT 'YoY', m.period, m.v / p.v - 1 FROM m JOIN m p ON p.k = m.k - 12 UNION ALL SELECT 'WoW', period, v / lag(v) OVER (ORDER BY k) - 1 FROM w)
+SELECT 'o_totalprice' AS measure, 'o_orderdate' AS over, kind, period, round(growth, 6) AS growth FROM g WHERE growth IS NOT NULL""")
+def growth_suite(spark, sf_dir):
+    return _r(statistics.growth_suite(table(spark, sf_dir, "orders"), ["o_totalprice"], ["o_orderdate"]), 6)
 
 
 @query("SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, count(*) AS n FROM lineitem")
@@ -527,11 +583,19 @@ def chart_plan(spark, sf_dir):
     return spark.createDataFrame([(c.kind, ",".join(c.columns), c.reason) for c in ranked], "kind string, columns string, reason string")
 
 
-@query("SELECT 'ok' AS status, 4 + 2 * count(DISTINCT o_orderstatus) AS n FROM orders")
+@query("SELECT 'ok' AS status, 12 + 3 * count(DISTINCT o_orderstatus) AS n FROM orders UNION ALL SELECT 'null', 1")
 def kpi_recompute_compare(spark, sf_dir):
-    """Fused results against the independent path, each KPI and group on its own."""
-    orders, plan = table(spark, sf_dir, "orders"), build_plan({"kpis": [{"operation": op} for op in FUSED]})
-    return verify.compare(kpi.execute_plan(orders, plan), kpi.execute_unfused(orders, plan)).groupBy("status").agg(F.count("*").alias("n"))
+    """Fused results against statements of their own in SQL text, for all eleven functions, each KPI and group on its own."""
+    grown = {"function": "growth", "column": "o_totalprice", "over_column": "o_orderdate"}
+    more = [
+        {"function": "median", "column": "o_totalprice", "filter": {"o_orderpriority": "1-URGENT"}}, {"function": "min", "column": "o_orderdate"}, {"function": "count", "column": "o_orderkey"},
+        {"function": "ratio", "numerator": {"function": "sum", "column": "o_totalprice"}, "denominator": {"function": "count", "column": "o_orderkey"}},
+        {"function": "correlation", "column_a": "o_totalprice", "column_b": "o_shippriority"}, {"function": "correlation", "column_a": "o_totalprice", "column_b": "o_shippriority", "method": "spearman"},
+        grown, {**grown, "period": "YoY", "as_percent": True}, {**grown, "period": "WoW", "basis": "start_of_period"}, {**grown, "group_by": ["o_orderstatus"]},
+    ]
+    orders = table(spark, sf_dir, "orders").withColumn("o_shippriority", F.dayofmonth("o_orderdate"))
+    plan = build_plan({"kpis": [{"operation": op} for op in (*FUSED, *more)]})
+    return verify.compare(kpi.execute_plan(orders, plan), recompute.recompute(orders, plan)).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query("SELECT 1::BIGINT AS o_custkey, 0::BIGINT AS n WHERE false")

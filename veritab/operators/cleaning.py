@@ -16,7 +16,7 @@ from pyspark.sql.types import StringType
 
 from veritab.operators.profiling import clean_null
 from veritab.operators.quality import SQL_TEXT
-from veritab.plans.compile import moment, number
+from veritab.plans.compile import exact_quantiles, moment, number
 
 #: Currencies and units of written amounts, and factors between units of one kind.
 CURRENCY = r"(?:\$|€|£|EGP|USD|EUR|SAR|AED|KWD|QAR|BHD|OMR|LE|JPY|GBP|CNY|JOD)"
@@ -85,9 +85,16 @@ def flag_missing(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(f"{column}_missing_flag", clean_null(df, column).isNull())
 
 
+def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float]]:
+    """Exact quantiles of each column that has a number; one job for all columns."""
+    parts = [F.struct(F.lit(c).alias("c"), number(df, c).cast("double").alias("x")) for c in columns]
+    rows = df.select(F.explode(F.array(*parts)).alias("u")).select("u.*").where(F.col("x").isNotNull())
+    return {r["c"]: r["q"] for r in exact_quantiles(rows, ["c"], "x", shares).collect()}
+
+
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
-    row = df.agg(*[F.percentile(number(df, c), F.lit(0.5)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    return {c: row[f"m{i}"] for i, c in enumerate(columns)}
+    found = quantiles(df, columns, [0.5]) if columns else {}
+    return {c: found[c][0] if c in found else None for c in columns}
 
 
 def median_fill(df: DataFrame, columns: list[str], flag: bool = False) -> DataFrame:
@@ -110,7 +117,7 @@ def unknown_fill(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def iqr_flag(df: DataFrame, column: str, drop: bool = False) -> DataFrame:
-    a, b = df.agg(F.percentile(number(df, column), F.array(F.lit(0.25), F.lit(0.75)))).first()[0] or (None, None)
+    a, b = quantiles(df, [column], [0.25, 0.75]).get(column, (None, None))
     if a is None or b <= a:
         return df if drop else df.withColumn(f"{column}_outlier_flag", F.lit(False))
     x = number(df, column)
@@ -225,10 +232,11 @@ def impact(before: DataFrame, after: DataFrame, measures: list[str]) -> DataFram
 
     def facts(df: DataFrame, tag: str) -> DataFrame:
         parts = [F.struct(F.lit(m).alias("measure"), number(df, m).cast("double").alias("x")) for m in measures]
-        return df.select(F.explode(F.array(*parts)).alias("u")).groupBy("u.measure").agg(
-            F.count("*").alias(f"rows_{tag}"), F.count("u.x").alias(f"present_{tag}"), F.coalesce(F.sum("u.x"), F.lit(0.0)).alias(f"sum_{tag}"),
-            F.avg("u.x").alias(f"mean_{tag}"), F.percentile("u.x", F.lit(0.5)).alias(f"median_{tag}"),
-        )
+        rows = df.select(F.explode(F.array(*parts)).alias("u")).select("u.*")
+        middle = exact_quantiles(rows.where(F.col("x").isNotNull()), ["measure"], "x", [0.5]).select("measure", F.get("q", F.lit(0)).alias(f"median_{tag}"))
+        return rows.groupBy("measure").agg(
+            F.count("*").alias(f"rows_{tag}"), F.count("x").alias(f"present_{tag}"), F.coalesce(F.sum("x"), F.lit(0.0)).alias(f"sum_{tag}"), F.avg("x").alias(f"mean_{tag}"),
+        ).join(middle, "measure", "left")
 
     both = facts(before, "before").join(facts(after, "after"), "measure", "full_outer")
     delta = F.col("sum_after") - F.col("sum_before")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.operators.profiling import NEGATIVE_NAME, clean_null
-from veritab.plans.compile import moment, number
+from veritab.plans.compile import exact_quantiles, moment, number
 
 #: What stands for a missing value in text.
 NA_TEXTS = ("na", "n/a", "n.a", "nan", "null", "none", "nil", "missing", "-", "--", "?", "??", "—")
@@ -65,7 +65,7 @@ def iqr_outliers(df: DataFrame, measures: list[str], least: int = 10) -> DataFra
     """(column_name, low, high, outliers) of measures with at least ``least`` values and a spread."""
     parts = [F.struct(F.lit(m).alias("column_name"), number(df, m).cast("double").alias("x")) for m in measures]
     rows = df.select(F.explode(F.array(*parts)).alias("u")).select("u.*").where(F.col("x").isNotNull())
-    q = rows.groupBy("column_name").agg(F.count("*").alias("n"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = exact_quantiles(rows, ["column_name"], "x", [0.25, 0.75])
     a, b = F.element_at("q", 1), F.element_at("q", 2)
     bounds = q.where((F.col("n") >= least) & (b > a)).select("column_name", (a - 1.5 * (b - a)).alias("low"), (b + 1.5 * (b - a)).alias("high"))
     return rows.join(bounds, "column_name").groupBy("column_name", "low", "high").agg(F.count_if((F.col("x") < F.col("low")) | (F.col("x") > F.col("high"))).alias("outliers"))
@@ -75,10 +75,10 @@ def mad_outliers(df: DataFrame, measure: str, segment: str | None = None, limit:
     """Rows whose modified z-score exceeds ``limit``, within the whole column or each segment."""
     seg = F.col(segment).cast("string") if segment else F.lit(None).cast("string")
     rows = df.select(*keep, seg.alias("segment"), number(df, measure).cast("double").alias("x")).where(F.col("x").isNotNull())
-    med = rows.groupBy("segment").agg(F.percentile("x", F.lit(0.5)).alias("med"), F.count("*").alias("n")).where(F.col("n") >= least)
-    med = med.select(F.col("segment").alias("m_segment"), "med")
+    med = exact_quantiles(rows, ["segment"], "x", [0.5]).where(F.col("n") >= least)
+    med = med.select(F.col("segment").alias("m_segment"), F.get("q", F.lit(0)).alias("med"))
     off = rows.join(med, F.col("segment").eqNullSafe(F.col("m_segment"))).select("segment", "med", F.abs(F.col("x") - F.col("med")).alias("d"))
-    mad = off.groupBy(F.col("segment").alias("d_segment"), "med").agg(F.percentile("d", F.lit(0.5)).alias("mad"))
+    mad = exact_quantiles(off, ["segment", "med"], "d", [0.5]).select(F.col("segment").alias("d_segment"), "med", F.get("q", F.lit(0)).alias("mad"))
     z = 0.6745 * (F.col("x") - F.col("med")) / F.when(F.col("mad") == 0, 1e-12).otherwise(F.col("mad"))
     found = rows.join(mad, F.col("segment").eqNullSafe(F.col("d_segment")))
     return found.select(*keep, "segment", "x", z.alias("z")).where(F.abs("z") > limit)

@@ -1,19 +1,35 @@
 """The statistical suite as DataFrames: each operator scans its input once for all of its columns.
 
-p-values come from ``functions.special`` on the driver (``with_p``); their inputs are a few aggregated rows.
+p-values come from ``functions.special`` by Arrow functions over the few aggregated rows of a test (``with_p``), so every test is a
+lazy DataFrame with its statistic and its p.
 """
 
 from __future__ import annotations
 
-import math
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.functions import special
-from veritab.plans.compile import average_rank, correlation, moment, number, period_key
+from veritab.plans.compile import average_rank, correlation, exact_quantiles, growth_series, moment, number, period_key, spearman
+from veritab.plans.ir import Op, is_identifier_name
 
 MIN_BINS, MAX_BINS = 2, 50
+#: Distribution tails by the names of their arguments' columns.
+TAILS = {"t": special.t_two_sided, "f": special.f_tail, "chi2": special.chi2_tail, "mann_whitney": lambda u, m, n, ties: special.mann_whitney_p(u, int(m), int(n), ties)}
+
+
+def with_p(df: DataFrame, tail: str, *inputs: Column, name: str = "p") -> DataFrame:
+    """``df`` with a p-value; null inputs give null."""
+    fn = TAILS[tail]
+
+    def run(*columns: pd.Series) -> pd.Series:
+        return pd.Series([None if any(pd.isna(v) for v in row) else float(fn(*row)) for row in zip(*columns)], dtype="float64")
+
+    udf = F.pandas_udf(lambda *c: run(*c), "double") if len(inputs) > 4 else {
+        2: F.pandas_udf(lambda a, b: run(a, b), "double"), 3: F.pandas_udf(lambda a, b, c: run(a, b, c), "double"), 4: F.pandas_udf(lambda a, b, c, d: run(a, b, c, d), "double"),
+    }[len(inputs)]
+    return df.withColumn(name, udf(*[c.cast("double") for c in inputs]))
 
 
 def _unpivot(df: DataFrame, measures: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -24,11 +40,13 @@ def _unpivot(df: DataFrame, measures: list[str], keep: list[str] | None = None)
 def descriptive(df: DataFrame, measures: list[str]) -> DataFrame:
     """n, moments, quartiles and adjusted skewness and kurtosis of each measure."""
     n, g, k = F.col("n"), F.col("_g"), F.col("_k")
-    out = _unpivot(df, measures).groupBy("variable").agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
+    rows = _unpivot(df, measures)
+    quartiles = exact_quantiles(rows, ["variable"], "x", [0.25, 0.5, 0.75], "_q").drop("n")
+    out = rows.groupBy("variable").agg(
+        F.count("x").alias("n"), F.avg("x").alias("mean"),
         F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.var_pop("x").alias("_v"),
         F.skewness("x").alias("_g"), F.kurtosis("x").alias("_k"),
-    )
+    ).join(quartiles, "variable")
     skew = F.when((n > 2) & (F.col("_v") > 0), g * F.sqrt(n * (n - 1.0)) / (n - 2))
     kurt = F.when((n > 3) & (F.col("_v") > 0), (n - 1.0) / ((n - 2.0) * (n - 3.0)) * ((n + 1.0) * k + 6))
     q = lambda i: F.element_at("_q", i)
@@ -48,9 +66,7 @@ def histogram_bins(n: Column, q1: Column, q3: Column, low: Column, high: Column)
 def histogram(df: DataFrame, measures: list[str]) -> DataFrame:
     """(variable, bin, low, high, count), empty bins included; the last bin is closed."""
     rows = _unpivot(df, measures)
-    facts = rows.groupBy("variable").agg(
-        F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("q")
-    )
+    facts = rows.groupBy("variable").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).join(exact_quantiles(rows, ["variable"], "x", [0.25, 0.75]), "variable")
     facts = facts.withColumn("bins", histogram_bins(F.col("n"), F.element_at("q", 1), F.element_at("q", 2), F.col("lo"), F.col("hi"))).drop("q", "n")
     span = F.col("hi") - F.col("lo")
     at = F.when(span <= 0, 0).otherwise(F.least(F.floor((F.col("x") - F.col("lo")) * F.col("bins") / F.nullif(span, F.lit(0.0))), F.col("bins") - 1)).cast("int")
@@ -76,16 +92,38 @@ def correlation_matrix(df: DataFrame, measures: list[str], diagonal: bool = True
     return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
-def correlation_tests(df: DataFrame, measures: list[str]) -> list[dict]:
-    """Pearson tests with p, Fisher interval and effect size, from the collected matrix."""
-    out = []
-    for row in correlation_matrix(df, measures, diagonal=False).collect():
-        r, n = row["r"], row["n"]
-        if r is None or n < 3:
-            continue
-        p = 0.0 if abs(r) >= 1 else special.t_two_sided(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
-        out.append({"a": row["a"], "b": row["b"], "r": r, "n": n, "p": p, "interval": special.fisher_interval(r, n), "effect": r * r})
-    return out
+def _tested(rows: DataFrame, n: Column, r: Column) -> DataFrame:
+    """p of r by t with n - 2 degrees of freedom, the 95 % interval by Fisher's z from four pairs on, and r squared."""
+    t = r * F.sqrt(F.try_divide(n - 2, 1 - r * r))
+    z, half = F.atanh(r), 1.96 / F.sqrt(F.greatest(n - 3, F.lit(1)))
+    sure = F.abs(r) >= 1
+    out = with_p(rows, "t", F.when(~sure, t), (n - 2))
+    return out.withColumns({
+        "p": F.when(sure, 0.0).otherwise(F.col("p")), "low": F.when((n >= 4) & ~sure, F.tanh(z - half)), "high": F.when((n >= 4) & ~sure, F.tanh(z + half)), "effect": r * r,
+    })
+
+
+def correlation_tests(df: DataFrame, measures: list[str], method: str = "pearson") -> DataFrame:
+    """(a, b, r, n, p, low, high, effect) of each pair with at least three rows and no constant side; identifiers are left out."""
+    measures = [m for m in measures if not is_identifier_name(m)]
+    if method == "spearman":
+        out = None
+        for i, a in enumerate(measures):
+            for b in measures[i + 1 :]:
+                one = spearman_pair(df, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "r", "n")
+                out = one if out is None else out.unionByName(one)
+        rows = out if out is not None else df.sparkSession.createDataFrame([], "a string, b string, r double, n long")
+    else:
+        rows = correlation_matrix(df, measures, diagonal=False)
+    return _tested(rows.where(F.col("r").isNotNull() & (F.col("n") >= 3)), F.col("n"), F.col("r"))
+
+
+def spearman_pair(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row (r, n) of the average ranks."""
+    both = number(df, a).isNotNull() & number(df, b).isNotNull()
+    n = df.agg(F.count_if(both).alias("n")).withColumn("_k", F.lit(1))
+    r = spearman(df, Op("correlation", column_a=a, column_b=b, method="spearman")).withColumn("_k", F.lit(1))
+    return r.join(n, "_k").select(F.col("value").alias("r"), "n")
 
 
 def group_moments(df: DataFrame, measure: str, dimension: str) -> DataFrame:
@@ -102,11 +140,12 @@ def welch(df: DataFrame, measure: str, dimension: str, a: str, b: str) -> DataFr
     na, nb, va, vb = F.col("n_a"), F.col("n_b"), F.col("var_a"), F.col("var_b")
     diff, se2 = F.col("mean_a") - F.col("mean_b"), va / na + vb / nb
     pooled = F.sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2))
-    return row.select(
+    out = row.select(
         F.try_divide(diff, F.sqrt(se2)).alias("t"),
         F.try_divide(se2 * se2, (va / na) * (va / na) / (na - 1) + (vb / nb) * (vb / nb) / (nb - 1)).alias("df"),
         F.try_divide(diff, pooled).alias("cohens_d"),
     )
+    return with_p(out, "t", F.col("t"), F.col("df"))
 
 
 def anova(df: DataFrame, measure: str, dimension: str) -> DataFrame:
@@ -117,10 +156,11 @@ def anova(df: DataFrame, measure: str, dimension: str) -> DataFrame:
         F.sum(F.col("n") * F.col("mean") ** 2).alias("q"), F.sum((F.col("n") - 1) * F.col("var")).alias("within"),
     )
     between = F.col("q") - F.col("s") ** 2 / F.col("n")
-    return row.select(
-        F.try_divide(between / (F.col("k") - 1), F.col("within") / (F.col("n") - F.col("k"))).alias("f"),
+    out = row.select(
+        F.try_divide(F.try_divide(between, F.col("k") - 1), F.try_divide(F.col("within"), F.col("n") - F.col("k"))).alias("f"),
         (F.col("k") - 1).alias("df_between"), (F.col("n") - F.col("k")).alias("df_within"), F.try_divide(between, between + F.col("within")).alias("eta_squared"),
     )
+    return with_p(out, "f", F.col("f"), F.col("df_between"), F.col("df_within"))
 
 
 def _rank_sums(df: DataFrame, measure: str, dimension: str) -> tuple[DataFrame, DataFrame]:
@@ -141,7 +181,7 @@ def kruskal(df: DataFrame, measure: str, dimension: str) -> DataFrame:
     both = row.withColumn("one", F.lit(1)).join(ties.withColumn("one", F.lit(1)), "one")
     n = F.col("n").cast("double")
     h = 12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)
-    return both.select(F.try_divide(h, 1 - F.col("ties") / (n * n * n - n)).alias("h"), (F.col("k") - 1).alias("df"))
+    return with_p(both.select(F.try_divide(h, 1 - F.try_divide(F.col("ties"), n * n * n - n)).alias("h"), (F.col("k") - 1).alias("df")), "chi2", F.col("h"), F.col("df"))
 
 
 def mann_whitney(df: DataFrame, measure: str, dimension: str, a: str, b: str) -> DataFrame:
@@ -150,23 +190,31 @@ def mann_whitney(df: DataFrame, measure: str, dimension: str, a: str, b: str) ->
     row = sums.agg(*[F.max(F.when(F.col("g") == g, F.col(c))).alias(f"{c}_{s}") for s, g in (("a", a), ("b", b)) for c in ("n", "rank_sum")])
     both = row.withColumn("one", F.lit(1)).join(ties.withColumn("one", F.lit(1)), "one")
     na = F.col("n_a").cast("double")
-    return both.select((F.col("rank_sum_a") - na * (na + 1) / 2).alias("u"), "n_a", "n_b", "ties")
+    out = both.select((F.col("rank_sum_a") - na * (na + 1) / 2).alias("u"), "n_a", "n_b", "ties")
+    return with_p(out, "mann_whitney", F.col("u"), F.col("n_a"), F.col("n_b"), F.coalesce("ties", F.lit(0.0)))
 
 
-def posthoc_pairs(df: DataFrame, measure: str, dimension: str, most: int = 8) -> list[dict]:
-    """Mann-Whitney of all pairs of at most ``most`` groups: raw and Bonferroni-adjusted p."""
+def posthoc_pairs(df: DataFrame, measure: str, dimension: str, most: int = 8) -> DataFrame:
+    """(a, b, u, p, p_adjusted): Mann-Whitney of all pairs of at most ``most`` groups, p raw and Bonferroni-adjusted; more groups give no rows."""
     groups = sorted(r["g"] for r in group_moments(df, measure, dimension).select("g").limit(most + 1).collect())
-    if len(groups) > most:
-        return []
-    pairs = [(a, b) for i, a in enumerate(groups) for b in groups[i + 1 :]]
-    out = []
+    out = df.sparkSession.createDataFrame([], "a string, b string, u double, p double, p_adjusted double")
+    pairs = [(a, b) for i, a in enumerate(groups) for b in groups[i + 1 :]] if len(groups) <= most else []
     for a, b in pairs:
-        r = mann_whitney(df, measure, dimension, a, b).first()
-        p = special.mann_whitney_p(r["u"], r["n_a"], r["n_b"], r["ties"])
-        out.append({"a": a, "b": b, "u": r["u"], "p": p, "p_adjusted": min(1.0, p * len(pairs))})
+        one = mann_whitney(df, measure, dimension, a, b)
+        out = out.unionByName(one.select(F.lit(str(a)).alias("a"), F.lit(str(b)).alias("b"), F.col("u").cast("double").alias("u"), "p", F.least(F.lit(1.0), F.col("p") * len(pairs)).alias("p_adjusted")))
     return out
 
 
+def compare_groups(df: DataFrame, measure: str, dimension: str) -> list[tuple[str, DataFrame]]:
+    """The tests that suit the number of groups: two take Welch and Mann-Whitney, more take ANOVA, Kruskal-Wallis and the pairs; 2 to 50 values."""
+    groups = sorted(r["g"] for r in group_moments(df, measure, dimension).select("g").limit(51).collect())
+    if len(groups) == 2:
+        return [("welch", welch(df, measure, dimension, *groups)), ("mann_whitney", mann_whitney(df, measure, dimension, *groups))]
+    if not 2 < len(groups) <= 50:
+        return []
+    return [("anova", anova(df, measure, dimension)), ("kruskal", kruskal(df, measure, dimension)), ("posthoc", posthoc_pairs(df, measure, dimension))]
+
+
 def chi_squared(df: DataFrame, a: str, b: str) -> DataFrame:
     """Chi-squared without Yates' correction, degrees of freedom and Cramer's V, from the cell counts alone."""
     cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("c"))
@@ -180,9 +228,10 @@ def chi_squared(df: DataFrame, a: str, b: str) -> DataFrame:
     )
     chi = F.col("n") * (F.col("s") - 1)
     least = F.least("ka", "kb") - 1
-    return row.select(
+    out = row.select(
         chi.alias("chi2"), ((F.col("ka") - 1) * (F.col("kb") - 1)).alias("df"), F.sqrt(F.try_divide(chi, F.col("n") * least)).alias("cramers_v"), "n"
     )
+    return with_p(out, "chi2", F.col("chi2"), F.when(F.col("df") > 0, F.col("df")))
 
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -201,6 +250,17 @@ def rolling_mean(df: DataFrame, measure: str, time: str, window: int = 3) -> Dat
     return monthly_totals(df, measure, time).select("period", "total", F.avg("total").over(w).alias("rolling_mean"))
 
 
+def growth_suite(df: DataFrame, measures: list[str], times: list[str]) -> DataFrame:
+    """(measure, over, kind, period, growth): MoM, YoY and WoW series of every measure over every time column."""
+    out = None
+    for m in measures:
+        for t in times:
+            for kind in ("MoM", "YoY", "WoW"):
+                one = growth_series(df, Op("growth", column=m, over_column=t, period=kind)).select(F.lit(m).alias("measure"), F.lit(t).alias("over"), F.lit(kind).alias("kind"), "period", "growth")
+                out = one if out is None else out.unionByName(one)
+    return out if out is not None else df.sparkSession.createDataFrame([], "measure string, over string, kind string, period string, growth double")
+
+
 def seasonality(df: DataFrame, measure: str, time: str) -> DataFrame:
     """Variance of the calendar months' means over the variance of the months; above 0.3 is seasonal."""
     months = monthly_totals(df, measure, time)
@@ -222,9 +282,7 @@ def linear_trend(df: DataFrame, x: str, y: str) -> DataFrame:
 def box_plot(df: DataFrame, measures: list[str]) -> DataFrame:
     """Quartiles, whiskers at 1.5 IQR inside the range, and the number of values beyond them."""
     rows = _unpivot(df, measures)
-    f = rows.groupBy("variable").agg(
-        F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.min("x").alias("min"), F.max("x").alias("max")
-    )
+    f = rows.groupBy("variable").agg(F.min("x").alias("min"), F.max("x").alias("max")).join(exact_quantiles(rows, ["variable"], "x", [0.25, 0.5, 0.75]), "variable")
     q = lambda i: F.element_at("q", i)
     f = f.select(
         "variable", q(1).alias("q1"), q(2).alias("median"), q(3).alias("q3"),

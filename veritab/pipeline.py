@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from veritab.operators import charts, cleaning, profiling, quality, statistics, verify
-from veritab.plans import compile as kpi
+from veritab.plans import compile as kpi, recompute
 from veritab.plans.ir import Op, Plan, build_plan
 from veritab.sources import files
 
@@ -267,15 +267,14 @@ def run(spark: SparkSession, source: DataFrame | str, root: str, cfg: Config = C
         measures = [m for m in of("measure") if m in df.columns]
 
         def suite() -> tuple[list, list, list, list]:
-            cors = [{**c, "evidence": evidence.add("correlation", c["r"])} for c in statistics.correlation_tests(df, measures)] if "correlation" in plan.tests and len(measures) > 1 else []
+            cors = [{**c.asDict(), "evidence": evidence.add("correlation", c["r"])} for c in statistics.correlation_tests(df, measures).collect()] if "correlation" in plan.tests and len(measures) > 1 else []
             comps, descr = [], statistics.descriptive(df, measures).collect() if "descriptive" in plan.tests and measures else []
             dims = [d for d in of("dimension", "categorical") if d in df.columns and 2 <= facts[d]["distinct"] <= 50]
             for m in measures if "anova" in plan.tests else []:
                 for d in dims:
                     a = statistics.anova(df, m, d).first()
-                    if a["f"] is not None and a["df_within"]:
-                        p = statistics.special.f_tail(a["f"], a["df_between"], a["df_within"])
-                        comps.append({"measure": m, "dimension": d, "p": p, "evidence": evidence.add("comparison", a["f"])})
+                    if a["p"] is not None:
+                        comps.append({"measure": m, "dimension": d, "p": a["p"], "evidence": evidence.add("comparison", a["f"])})
             times = [t for t in of("temporal") if t in df.columns]
             series = _trends(df, measures, times, evidence) if "trend" in plan.tests else []
             return cors, comps, [r.asDict() for r in descr], series
@@ -296,7 +295,7 @@ def run(spark: SparkSession, source: DataFrame | str, root: str, cfg: Config = C
 
         def check() -> list[str]:
             frozen = spark.createDataFrame([(evidence.entries[k["evidence"]]["operation"], k["label"], k["value"]) for k in kpis], "evidence string, label string, value double")
-            return [r["status"] for r in verify.compare(frozen, kpi.execute_unfused(df, plan)).collect()]
+            return [r["status"] for r in verify.compare(frozen, recompute.recompute(df, plan)).collect()]
 
         statuses = stage("verify", check)
         critical, warnings = statuses.count("mismatch"), statuses.count("null") + statuses.count("unmatched") + len(plan.dropped)

@@ -82,6 +82,46 @@ def aggregate(df: DataFrame, op: Op) -> Column:
     }[op.function]()
 
 
+#: Relative accuracy of the sketch that narrows the search for an exact quantile; groups of fewer rows are counted whole.
+ACCURACY = 50_000
+
+
+def exact_quantiles(rows: DataFrame, keys: list[str], column: str, shares: list[float], out: str = "q") -> DataFrame:
+    """(keys, n, out): exact interpolated quantiles of a numeric column without nulls, for each group.
+
+    A sketch bounds where each quantile lies; only distinct values within those bounds are counted one by one, all others fall into
+    one count for each stretch between.  So no task ever holds a column's distinct values, as the built-in exact percentile does.
+    """
+    x, gap = F.col(column), 3 / ACCURACY
+    facts = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
+        F.count("*").alias("_n"),
+        F.percentile_approx(column, F.array(*[F.lit(max(0.0, s - gap)) for s in shares]), ACCURACY).alias("_lo"),
+        F.percentile_approx(column, F.array(*[F.lit(min(1.0, s + gap)) for s in shares]), ACCURACY).alias("_hi"),
+    )
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    if not keys:
+        rows, facts = rows.withColumn("_one", F.lit(1)), facts.withColumn("_k0", F.lit(1))
+        on = F.col("_one") == F.col("_k0")
+    inside, stretch = F.col("_n") <= ACCURACY, F.lit(0)
+    for i in range(len(shares)):
+        inside = inside | x.between(F.get("_lo", F.lit(i)), F.get("_hi", F.lit(i)))
+        stretch = stretch + (x > F.get("_hi", F.lit(i))).cast("int")
+    cells = rows.join(facts, on).groupBy(*keys, "_n", F.when(inside, x).alias("_v"), F.when(~inside, stretch).alias("_s")).agg(F.count("*").alias("_c"), F.min(column).alias("_x"))
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumn("_r", F.sum("_c").over(w))
+    at = lambda rank: F.max(F.when((F.col("_r") - F.col("_c") <= rank) & (rank < F.col("_r")), F.col("_x")))
+    values = []
+    for i, share in enumerate(shares):
+        h = (F.col("_n") - 1) * F.lit(share)
+        values += [at(F.floor(h)).alias(f"_a{i}"), at(F.ceil(h)).alias(f"_b{i}")]
+    found = cells.groupBy(*keys, "_n").agg(*values)
+    part = lambda s: (F.col("_n") - 1) * F.lit(s) - F.floor((F.col("_n") - 1) * F.lit(s))
+    q = F.array(*[F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * part(s) for i, s in enumerate(shares)])
+    return found.select(*keys, F.col("_n").alias("n"), q.alias(out))
+
+
 def group_label(columns: tuple[str, ...]) -> Column:
     return F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in columns])
 
@@ -99,12 +139,12 @@ def range_bucket(df: DataFrame, column: str, buckets: int = 64) -> Column:
     return F.coalesce(out, F.lit(0))
 
 
-def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Average ranks by way of the distinct values' counts: no window runs over the rows themselves.
+def average_rank(df: DataFrame, column: str, out: str, weight: str | None = None) -> DataFrame:
+    """Average ranks by way of the distinct values' counts: no window runs over the rows themselves; a row counts ``weight`` times.
 
     Distinct values are ranked within ranges; each range starts where the ones before it end.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
     counts = counts.withColumn("_range", range_bucket(df, column))
     starts = counts.groupBy("_range").agg(F.sum("_n").alias("_t"))
     w = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most 64 rows
@@ -116,13 +156,37 @@ def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, op: Op) -> DataFrame:
-    """One row: r of the average ranks on rows where both are present."""
+    """One row: r of the average ranks on rows where both are present.
+
+    Equal pairs are counted first; what is joined with the ranks are the distinct pairs, and the correlation weighs them.
+    """
     _check_columns(df, op)
     where = condition(op)
     rows = (df if where is None else df.where(where)).select(number(df, op.column_a).alias("_a"), number(df, op.column_b).alias("_b"))
-    rows = rows.where(F.col("_a").isNotNull() & F.col("_b").isNotNull())
-    ranked = average_rank(average_rank(rows, "_a", "_ra"), "_b", "_rb")
-    return ranked.agg(correlation(F.col("_ra"), F.col("_rb")).alias("value"))
+    pairs = rows.where(F.col("_a").isNotNull() & F.col("_b").isNotNull()).groupBy("_a", "_b").agg(F.count("*").alias("_w"))
+    ranked = average_rank(average_rank(pairs, "_a", "_ra", "_w"), "_b", "_rb", "_w")
+    w, x, y = F.col("_w").cast("double"), F.col("_ra"), F.col("_rb")
+    # ranks are centred by their known mean before they are multiplied
+    n = F.sum(w)
+    row = ranked.join(pairs.agg(((F.sum("_w") + 1) / 2).alias("_mean")).withColumn("_one", F.lit(1)), F.col("_one") == 1)
+    dx, dy = x - F.col("_mean"), y - F.col("_mean")
+    r = F.try_divide(F.sum(w * dx * dy), F.sqrt(F.sum(w * dx * dx) * F.sum(w * dy * dy)))
+    return row.agg(F.when(n >= 3, r).alias("value"))
+
+
+def median(df: DataFrame, op: Op) -> DataFrame:
+    """(group columns, value): a row for each group, null where a group has no number; one row without groups."""
+    _check_columns(df, op)
+    where = condition(op)
+    rows = (df if where is None else df.where(where)).select(*op.group_by, number(df, op.column).cast("double").alias("_m"))
+    found = exact_quantiles(rows.where(F.col("_m").isNotNull()), list(op.group_by), "_m", [0.5]).select(*op.group_by, F.get("q", F.lit(0)).alias("value"))
+    if not op.group_by:
+        return found.agg(F.max("value").alias("value"))
+    named = found.select(*[F.col(k).alias(f"_m{i}") for i, k in enumerate(op.group_by)], "value")
+    on = F.lit(True)
+    for i, k in enumerate(op.group_by):
+        on = on & F.col(k).eqNullSafe(F.col(f"_m{i}"))
+    return rows.select(*op.group_by).distinct().join(named, on, "left").select(*op.group_by, "value")
 
 
 # -- growth ----------------------------------------------------------------------------------------------------------
@@ -179,7 +243,8 @@ RESULT = "kpi_id string, label string, value double, text string, evidence strin
 
 def _value(name: str) -> list[Column]:
     c = F.col(name)
-    return [c.try_cast("double").alias("value"), c.cast("string").alias("text")]
+    # by way of text, which is exact for doubles, as dates have no cast to a number
+    return [c.cast("string").try_cast("double").alias("value"), c.cast("string").alias("text")]
 
 
 def execute_plan(df: DataFrame, plan: Plan) -> DataFrame:
@@ -197,6 +262,8 @@ def execute_plan(df: DataFrame, plan: Plan) -> DataFrame:
             if op.function == "growth":
                 own = growth(df, op)
                 parts.append(own.select(F.lit(kpi.kpi_id).alias("kpi_id"), (group_label(op.group_by) if op.group_by else F.lit(None).cast("string")).alias("label"), *_value("value"), F.lit(op.key).alias("evidence")))
+            elif op.function == "median":
+                parts.append(median(df, op).select(F.lit(kpi.kpi_id).alias("kpi_id"), (group_label(op.group_by) if op.group_by else F.lit(None).cast("string")).alias("label"), *_value("value"), F.lit(op.key).alias("evidence")))
             elif op.function == "correlation" and op.method == "spearman":
                 parts.append(spearman(df, op).select(F.lit(kpi.kpi_id).alias("kpi_id"), F.lit(None).cast("string").alias("label"), *_value("value"), F.lit(op.key).alias("evidence")))
             else:
@@ -215,17 +282,3 @@ def execute_plan(df: DataFrame, plan: Plan) -> DataFrame:
     for p in parts:
         out = out.unionByName(p)
     return out
-
-
-def execute_unfused(df: DataFrame, plan: Plan) -> DataFrame:
-    """The same results by one plan for each KPI and a ``where`` for its filter: the independent path of verification."""
-    out = df.sparkSession.createDataFrame([], RESULT)
-    for kpi in plan.kpis:
-        op = kpi.op
-        if op.function in ("growth", "ratio") or (op.function == "correlation" and op.method == "spearman") or not op.filter:
-            out = out.unionByName(execute_plan(df, Plan([kpi])))
-            continue
-        plain = Kpi(kpi.kpi_id, kpi.name, Op(**{**op.__dict__, "filter": ()}))
-        own = execute_plan(df.where(condition(op)), Plan([plain])).withColumn("evidence", F.lit(op.key))
-        out = out.unionByName(own)
-    return out
