@@ -13,15 +13,16 @@ from veritab.plans.ir import is_identifier_name
 
 NUMERIC = ("byte", "short", "integer", "long", "float", "double", "decimal")
 TEMPORAL = ("date", "timestamp", "timestamp_ntz")
-#: Words of column names.
+#: Words of column names.  ``acctbal`` is the balance of the supplied customer and supplier tables.
 TIME_NAME = re.compile(r"(?:^|_)(?:date|time|timestamp|day|month|year|at|on)$|date", re.I)
 METRIC_NAME = re.compile(
-    r"amount|price|qty|quantity|count|total|revenue|income|cost|expense|spend|sales|profit|duration|days|hours|minutes|age|value|volume|"
+    r"amount|price|pricing|qty|quantity|count|total|revenue|income|cost|expense|spend|sales|profit|duration|days|hours|minutes|age|value|volume|"
     r"weight|mass|size|length|width|height|balance|margin|rate|interest", re.I)
 ORDINAL_NAME = re.compile(r"rating|satisfaction|score|rank|level|priority|grade|stage|nps|star|tier", re.I)
 NEGATIVE_NAME = re.compile(r"temp|celsius|fahrenheit|latitude|longitude|altitude|elevation|balance|acctbal|delta|difference|diff|growth|margin|return", re.I)
 PII_NAME = re.compile(r"e-?mail|phone|mobile|address|ssn|passport|salary|birth|iban|(?:^|_)name$|(?:first|last|full)_?name", re.I)
 EMAIL_VALUE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+DATE_VALUE = r"\A\d{4}-\d{2}-\d{2}"
 PHONE_VALUE = r"^\s*(?:\+|00)?[0-9][0-9 ().-]{7,}[0-9]\s*$"
 
 
@@ -49,6 +50,22 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return row.select("rows", F.explode(F.array(*structs)).alias("s")).select("rows", "s.*")
 
 
+def duplicate_examples(df: DataFrame, order: str, columns: list[str] | None = None, most: int = 5) -> DataFrame:
+    """The first rows in ``order`` that repeat an earlier one; only groups that repeat are ordered, by a join with their first row."""
+    columns = columns or [c for c in df.columns if c != order]
+    groups = df.groupBy(*columns).agg(F.count("*").alias("_n"), F.min(order).alias("_first")).where(F.col("_n") > 1)
+    on = F.lit(True)
+    for i, c in enumerate(columns):
+        on = on & F.col(c).eqNullSafe(F.col(f"_c{i}"))
+    named = groups.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)], "_first")
+    return df.join(named, on).where(F.col(order) > F.col("_first")).orderBy(order).limit(most).select(*df.columns)
+
+
+def head(df: DataFrame, order: str, n: int = 5) -> DataFrame:
+    """The first ``n`` rows in ``order``."""
+    return df.orderBy(order).limit(n)
+
+
 def duplicates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row: rows that repeat an earlier one, and how many groups repeat."""
     groups = df.groupBy(*(columns or df.columns)).agg(F.count("*").alias("_n"))
@@ -129,9 +146,9 @@ def roles(df: DataFrame) -> dict[str, Role]:
 
 
 def pii_scan(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column_name, emails, phones, by_name): values of the whole column that look personal."""
+    """(column_name, emails, phones, by_name): values of the whole column that look personal; times are none, whatever their digits."""
     columns = columns or [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
-    row = df.agg(*[F.count_if(F.col(c).rlike(EMAIL_VALUE)).alias(f"e{i}") for i, c in enumerate(columns)], *[F.count_if(F.col(c).rlike(PHONE_VALUE)).alias(f"p{i}") for i, c in enumerate(columns)])
+    row = df.agg(*[F.count_if(F.col(c).rlike(EMAIL_VALUE)).alias(f"e{i}") for i, c in enumerate(columns)], *[F.count_if(F.col(c).rlike(PHONE_VALUE) & (F.lit(not TIME_NAME.search(c)) & ~F.trim(c).rlike(DATE_VALUE))).alias(f"p{i}") for i, c in enumerate(columns)])
     structs = [F.struct(F.lit(c).alias("column_name"), F.col(f"e{i}").alias("emails"), F.col(f"p{i}").alias("phones"), F.lit(bool(PII_NAME.search(c))).alias("by_name")) for i, c in enumerate(columns)]
     return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
@@ -140,14 +157,31 @@ def redact(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.lit("[REDACTED]") for c in columns})
 
 
-def stratified_sample(df: DataFrame, category: str, order: str, groups: int = 5, each: int = 4) -> DataFrame:
-    """``each`` evenly spaced rows of each of the ``groups`` commonest categories."""
+def sampling_column(facts: dict[str, dict]) -> str | None:
+    """The column with the most values of those with at most 50, and at most one for two rows; the first among equals."""
+    fit = [(f["distinct"], c) for c, f in facts.items() if f["kind"] == "string" and 1 < f["distinct"] <= min(50, f["rows"] / 2)]
+    best = max((d for d, _ in fit), default=0)
+    return next((c for d, c in fit if d == best), None)
+
+
+def stratified_sample(df: DataFrame, category: str | None, order: str, groups: int = 5, each: int = 4) -> DataFrame:
+    """``each`` evenly spaced rows of each of the ``groups`` commonest categories, filled up to ``groups * each`` rows by the first others.
+
+    Without a category the one that suits is taken, and evenly spaced rows of the whole table where none does.
+    """
+    if category is None:
+        category = sampling_column(identifier_facts(df.drop(order)))
+    if category is None:
+        return even_sample(df, order, groups * each)
     top = df.where(F.col(category).isNotNull()).groupBy(category).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), category).limit(groups)
     own = df.join(F.broadcast(top), category)  # at most ``groups`` rows
     w = Window.partitionBy(category).orderBy(order)
     stride = F.greatest(F.floor(F.col("_n") / each), F.lit(1))
     at = F.row_number().over(w) - 1
-    return own.withColumn("_at", at).where((F.col("_at") % stride == 0) & (F.col("_at") / stride < each)).drop("_at", "_n")
+    taken = own.withColumn("_at", at).where((F.col("_at") % stride == 0) & (F.col("_at") / stride < each)).drop("_at", "_n").select(*df.columns)
+    rest = df.join(taken.select(F.col(order).alias("_taken")), F.col(order) == F.col("_taken"), "left_anti").orderBy(order).limit(groups * each)
+    both = taken.withColumn("_first", F.lit(0)).unionByName(rest.withColumn("_first", F.lit(1)))
+    return both.orderBy("_first", order).limit(groups * each).drop("_first")
 
 
 def even_sample(df: DataFrame, order: str, points: int = 1500) -> DataFrame:
@@ -168,6 +202,7 @@ def even_sample(df: DataFrame, order: str, points: int = 1500) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """(rows, hash): independent of the order of rows, sensitive to every value and to repetitions."""
-    h = F.xxhash64(*[F.col(c).cast("string") for c in df.columns], *[F.col(c).isNull() for c in df.columns])
+    """(rows, hash): independent of the order of rows, sensitive to every value and to repetitions: the sum of 60 bits of each row's SHA-256."""
+    texts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in df.columns]
+    h = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", *texts), 256), 1, 15), 16, 10)
     return df.agg(F.count("*").alias("rows"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("hash"))

@@ -7,12 +7,13 @@ GROUPING SETS plan for all segments and columns.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.operators.profiling import NEGATIVE_NAME, clean_null
+from veritab.operators.understanding import unit_of
 from veritab.plans.compile import exact_quantiles, moment, number
 
 #: What stands for a missing value in text.
@@ -31,6 +32,8 @@ class Contract:
     required: bool = False
     unique: bool = False
     forbidden: tuple[str, ...] = ()
+    date_format: str | None = None
+    unit: str | None = None
 
 
 def _counts(df: DataFrame, checks: dict[str, Column], names: tuple[str, str]) -> DataFrame:
@@ -57,6 +60,7 @@ def validity(df: DataFrame, measures: list[str], temporals: list[str], texts: li
         checks[f"{t}:future"] = (F.to_date(ts) > F.date_add(F.lit(as_of).cast("date"), 365)) & (F.year(ts) < 2100)
     for t in texts:
         checks[f"{t}:sql_suspected"] = F.col(t).rlike(SQL_TEXT)
+        # units count where the column isn't plain numbers throughout; a plain number never has the form of one with a unit
         checks[f"{t}:mixed_units"] = F.col(t).rlike(UNIT_TEXT)
     return _counts(df, checks, ("finding", "rows"))
 
@@ -84,6 +88,79 @@ def mad_outliers(df: DataFrame, measure: str, segment: str | None = None, limit:
     return found.select(*keep, "segment", "x", z.alias("z")).where(F.abs("z") > limit)
 
 
+def worst_outliers(df: DataFrame, measure: str, segment: str | None = None, keep: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
+    """The outliers of largest z, then of smallest key: five of the column, three of each segment."""
+    rows = mad_outliers(df, measure, segment, keep=keep)
+    if segment is None:
+        return rows.orderBy(F.desc(F.abs("z")), *keep).limit(most or 5)
+    w = Window.partitionBy("segment").orderBy(F.desc(F.abs("z")), *keep)  # outliers alone, few beside the rows
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= (most or 3)).drop("_n")
+
+
+def identifier_nulls(df: DataFrame, identifiers: list[str]) -> DataFrame:
+    """(finding, rows): identifiers without a value."""
+    return _counts(df, {f"{c}:null_identifier": clean_null(df, c).isNull() for c in identifiers}, ("finding", "rows"))
+
+
+def reference_candidates(columns: list[str], identifiers: list[str]) -> list[tuple[str, str]]:
+    """(column, identifier it may refer to), by name: another column that ends in _id or holds the identifier's stem."""
+    out = []
+    for i in identifiers:
+        stem = re.sub(r"_?id$", "", i.lower())
+        out += [(c, i) for c in columns if c != i and (c.lower().endswith("_id") or stem and stem in c.lower())]
+    return out
+
+
+def referential_integrity(df: DataFrame, identifiers: list[str], least: float = 0.5) -> DataFrame:
+    """(column, identifier, distinct_values, orphans) of candidates at least half of whose distinct values are found, with orphans."""
+    out = df.sparkSession.createDataFrame([], "column_name string, identifier string, distinct_values long, orphans long")
+    for c, i in reference_candidates(df.columns, identifiers):
+        own = df.select(F.col(c).cast("string").alias("v"))
+        row = orphans(own, "v", df.select(F.col(i).cast("string").alias("r")), "r")
+        row = row.where((F.col("matched") >= least * F.col("distinct_values")) & (F.col("orphans") > 0))
+        out = out.unionByName(row.select(F.lit(c).alias("column_name"), F.lit(i).alias("identifier"), "distinct_values", "orphans"))
+    return out
+
+
+def out_of_declared_range(df: DataFrame, text: str) -> DataFrame:
+    """(violation, rows) of ranges that a text declares for columns of the table."""
+    names = {c.lower(): c for c in df.columns}
+    own = [Contract(names[c], low, high) for c, (low, high) in declared_ranges(text).items() if c in names]
+    rows = contract_violations(df, own)
+    return rows.where(F.col("rows") > 0)
+
+
+def imputability(role: str, rate: float) -> str:
+    """What may be done about a column's missing values."""
+    if role == "measure":
+        return "high_missing_drop" if rate >= 0.5 else "impute_median" if rate >= 0.1 else "low"
+    if role in ("dimension", "categorical"):
+        return "impute_unknown_category" if rate < 0.5 else "high_missing_drop"
+    return "cannot_impute"
+
+
+def deep_missingness(df: DataFrame, roles: dict[str, str]) -> DataFrame:
+    """(column_name, missing, rate, sentinels, effective_rate, verdict): missing values plain and in guise, and what may be done about them."""
+    census = sentinel_census(df, list(roles))
+    rows = df.agg(F.count("*").alias("all_rows")).withColumn("_k", F.lit(1))
+    hidden = F.col("blank") + F.col("na") + F.col("unknown")
+    share = lambda c: F.coalesce(F.round(F.try_divide(c.cast("double"), F.col("all_rows").cast("double")), 6), F.lit(0.0))
+    out = census.withColumn("_k", F.lit(1)).join(rows, "_k")
+    verdict = F.lit(None).cast("string")
+    rate = share(F.col("nan"))
+    for role in set(roles.values()):
+        own = F.col("column_name").isin([c for c, r in roles.items() if r == role])
+        steps = F.when(rate >= 0.5, imputability(role, 0.5)).when(rate >= 0.1, imputability(role, 0.1)).otherwise(imputability(role, 0.0))
+        verdict = F.when(own, steps).otherwise(verdict)
+    return out.select("column_name", F.col("nan").alias("missing"), rate.alias("rate"), hidden.alias("sentinels"), share(F.col("nan") + hidden).alias("effective_rate"), verdict.alias("verdict"))
+
+
+def missingness_level(effective_rates: list[float]) -> str:
+    """high from one half on, moderate from a tenth on, low above zero, else none - by the worst column."""
+    worst = max(effective_rates, default=0.0)
+    return "high" if worst >= 0.5 else "moderate" if worst >= 0.1 else "low" if worst > 0 else "none"
+
+
 def sentinel_census(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, nan, blank, na, unknown, zero)."""
     aggs = []
@@ -157,17 +234,35 @@ def orphans(df: DataFrame, column: str, other: DataFrame, other_column: str) ->
     return row.withColumn("orphans", F.col("distinct_values") - F.col("matched"))
 
 
-def build_contracts(df: DataFrame, measures: list[str], identifiers: list[str]) -> list[Contract]:
-    """Ranges widened by 5 % of the span; identifiers that are unique now stay so."""
+def build_contracts(df: DataFrame, measures: list[str], identifiers: list[str], times: tuple[str, ...] = ()) -> list[Contract]:
+    """Ranges widened by 5 % of the span, with units; the form of dates; identifiers that are unique now stay so."""
     row = df.agg(*[f(number(df, m)).cast("double").alias(f"{k}{i}") for i, m in enumerate(measures) for k, f in (("a", F.min), ("b", F.max))], *[(F.count_distinct(c) == F.count("*")).alias(f"u{i}") for i, c in enumerate(identifiers)]).first()
     out = []
     for i, m in enumerate(measures):
         a, b = row[f"a{i}"], row[f"b{i}"]
         if a is not None:
             out.append(Contract(m, a - 0.05 * (b - a), b + 0.05 * (b - a)))
+    out = [replace(c, unit=unit_of(c.column)) for c in out]
+    out += [Contract(t, date_format=f) for t, f in date_formats(df, times).items() if f]
     return out + [Contract(c, unique=True, required=True) for i, c in enumerate(identifiers) if row[f"u{i}"]]
 
 
+#: Forms of written dates, tried in this order.
+DATE_FORMS = {
+    "yyyy-MM-dd": r"\A\d{4}-\d{2}-\d{2}\z", "yyyy-MM-dd HH:mm:ss": r"\A\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}\z", "yyyy/MM/dd": r"\A\d{4}/\d{2}/\d{2}\z",
+    "dd/MM/yyyy": r"\A(?:0[1-9]|[12]\d|3[01])/(?:0[1-9]|1[0-2])/\d{4}\z", "MM/dd/yyyy": r"\A(?:0[1-9]|1[0-2])/(?:0[1-9]|[12]\d|3[01])/\d{4}\z", "dd.MM.yyyy": r"\A\d{2}\.\d{2}\.\d{4}\z",
+}
+
+
+def date_formats(df: DataFrame, columns: list[str], share: float = 0.95) -> dict[str, str | None]:
+    """The first form that at least ``share`` of a text column's values have; one aggregate for all columns and forms."""
+    texts = [c for c in columns if df.schema[c].dataType.typeName() == "string"]
+    if not texts:
+        return {}
+    row = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(texts)], *[F.count_if(F.trim(c).rlike(p)).alias(f"f{i}_{k}") for i, c in enumerate(texts) for k, p in enumerate(DATE_FORMS.values())]).first()
+    return {c: next((f for k, f in enumerate(DATE_FORMS) if row[f"n{i}"] and row[f"f{i}_{k}"] >= share * row[f"n{i}"]), None) for i, c in enumerate(texts)}
+
+
 def contract_violations(df: DataFrame, contracts: list[Contract]) -> DataFrame:
     """(violation, rows): below, above, forbidden and unexpected null in one aggregate, repeats of unique columns beside it."""
     checks: dict[str, Column] = {}
@@ -178,6 +273,8 @@ def contract_violations(df: DataFrame, contracts: list[Contract]) -> DataFrame:
             checks[f"{c.column}:above_range"] = number(df, c.column) > c.high
         if c.required:
             checks[f"{c.column}:unexpected_null"] = clean_null(df, c.column).isNull()
+        if c.date_format:
+            checks[f"{c.column}:date_format"] = F.col(c.column).isNotNull() & ~F.trim(c.column).rlike(DATE_FORMS[c.date_format])
         if c.forbidden:
             checks[f"{c.column}:forbidden_value"] = F.col(c.column).cast("string").isin(*c.forbidden)
     out = _counts(df, checks, ("violation", "rows")) if checks else df.sparkSession.createDataFrame([], "violation string, rows long")
