@@ -282,3 +282,46 @@ def execute_plan(df: DataFrame, plan: Plan) -> DataFrame:
     for p in parts:
         out = out.unionByName(p)
     return out
+
+
+def grouped_values(df: DataFrame, op: Op) -> DataFrame:
+    """(label, value) of a grouped aggregate, in the order of the labels as texts."""
+    own = Op(**{**op.__dict__, "filter": ()})
+    rows = df if condition(op) is None else df.where(condition(op))
+    out = median(df, op).select(group_label(op.group_by).alias("label"), "value") if op.function == "median" else rows.groupBy(*op.group_by).agg(aggregate(rows, own).alias("value")).select(group_label(op.group_by).alias("label"), "value")
+    return out.orderBy("label")
+
+
+def grouped_growth_values(df: DataFrame, op: Op) -> DataFrame:
+    """(label, period, value): the latest growth of each group, in the order of the labels as texts."""
+    return growth(df, op).select(group_label(op.group_by).alias("label"), "period", "value").orderBy("label")
+
+
+def numbered(results: DataFrame, plan: Plan) -> DataFrame:
+    """Results with an id for each group: KPI-001-001, KPI-001-002, ... in the order of the labels; ungrouped KPIs keep theirs."""
+    grouped = [k.kpi_id for k in plan.kpis if k.op.group_by]
+    at = F.row_number().over(Window.partitionBy("kpi_id").orderBy(F.col("label").asc_nulls_last()))
+    own = F.when(F.col("kpi_id").isin(grouped), F.concat("kpi_id", F.lit("-"), F.lpad(at.cast("string"), 3, "0"))).otherwise(F.col("kpi_id"))
+    return results.withColumn("group_id", own)
+
+
+def daily_sums(df: DataFrame, column: str, over: str) -> DataFrame:
+    """(day, total): sums of each day that has a date."""
+    rows = df.select(F.to_date(moment(df, over)).alias("day"), number(df, column).cast("double").alias("x")).where(F.col("day").isNotNull())
+    return rows.groupBy("day").agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("total"))
+
+
+def period_variance(df: DataFrame, op: Op, over: str) -> DataFrame:
+    """(period, previous, current, delta, delta_percent): a plain aggregate in the last two months of a time column; no row with fewer."""
+    rows = df.withColumn("_ts", moment(df, over)).where(F.col("_ts").isNotNull())
+    key, label = period_key(F.col("_ts"), "MoM")
+    rows = rows.withColumns({"_key": key, "_label": label})
+    if op.function == "median":
+        middle = exact_quantiles(rows.select("_key", "_label", number(df, op.column).cast("double").alias("_m")).where(F.col("_m").isNotNull()), ["_key", "_label"], "_m", [0.5])
+        months = middle.select("_key", "_label", F.get("q", F.lit(0)).alias("v"))
+    else:
+        months = rows.groupBy("_key", "_label").agg(aggregate(df, op).cast("double").alias("v"))
+    two = months.orderBy(F.desc("_key")).limit(2)
+    row = two.agg(F.count("*").alias("n"), F.max_by("_label", "_key").alias("period"), F.min_by("v", "_key").alias("previous"), F.max_by("v", "_key").alias("current")).where(F.col("n") == 2)
+    delta = F.col("current") - F.col("previous")
+    return row.select("period", "previous", "current", delta.alias("delta"), F.round(F.try_divide(delta, F.col("previous")) * 100, 2).alias("delta_percent"))

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import codecs
+import csv
 import hashlib
 import json
 import os
 import sqlite3
+import tempfile
+import zipfile
 from pathlib import Path
+from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veritab.sources import xlsx
+
 #: Texts read as null.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
@@ -27,12 +33,23 @@ def validate_file(path: str, max_mb: float = 200, min_rows: int = 5) -> str | No
         return "file_too_large"
     head = p.open("rb").read(4096)
     if p.suffix.lower() == ".xlsx":
-        return None if head.startswith(b"PK\x03\x04") else "invalid_signature"
-    if b"\0" in head or head.startswith(b"PK\x03\x04"):
-        return "invalid_signature"
-    with p.open("rb") as f:
-        rows = sum(1 for _, line in zip(range(min_rows + 1), f) if line.strip())
-    return "min_rows" if rows < min_rows + 1 else None
+        if not head.startswith(b"PK\x03\x04"):
+            return "invalid_signature"
+        try:
+            records = max(xlsx.sheets(path).values(), default=0)
+        except (KeyError, ValueError, zipfile.BadZipFile, ElementTree.ParseError):
+            return "parser_error"
+    else:
+        if b"\0" in head or head.startswith(b"PK\x03\x04"):
+            return "invalid_signature"
+        sep, encoding = dialect(path)
+        try:
+            # records, not lines: a quoted field may hold line breaks
+            with p.open(newline="", encoding=encoding) as f:
+                records = sum(1 for _, row in zip(range(min_rows + 1), (r for r in csv.reader(f, delimiter=sep, strict=True) if r)))
+        except (csv.Error, UnicodeDecodeError):
+            return "parser_error"
+    return "min_rows" if records < min_rows + 1 else None
 
 
 def is_utf8(path: str, block: int = 1 << 20) -> bool:
@@ -55,6 +72,21 @@ def dialect(path: str) -> tuple[str, str]:
     return (";" if first.count(b";") > first.count(b",") else ","), "UTF-8" if is_utf8(path) else "ISO-8859-1"
 
 
+def breaks_in_quotes(path: str, encoding: str, block: int = 1 << 22) -> bool:
+    """Whether a line ends inside quotes anywhere: an odd number of quotes before a line break; read in blocks."""
+    odd = False
+    with open(path, "rb") as f:
+        while raw := f.read(block):
+            at = 0
+            while (end := raw.find(b"\n", at)) >= 0:
+                odd ^= raw.count(b'"', at, end) % 2 == 1
+                if odd:
+                    return True
+                at = end + 1
+            odd ^= raw.count(b'"', at) % 2 == 1
+    return False
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """String columns as long, double or boolean where every present value is one; one aggregate for all columns."""
     tests = {"bigint": r"^[+-]?\d{1,18}$", "double": r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$", "boolean": r"^(?i:true|false)$"}
@@ -73,15 +105,72 @@ def infer_types(df: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, typed: bool = True) -> DataFrame:
     """A CSV with the detected dialect, NA tokens as null, and types by content."""
     sep, encoding = dialect(path)
-    df = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("multiLine", True).option("escape", '"').csv(path)
+    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("escape", '"')
+    # a file without line breaks inside quotes is split among tasks
+    df = reader.option("multiLine", breaks_in_quotes(path, encoding)).csv(path)
     df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
     df = df.withColumns({c: F.when(~F.col(c).isin(*NA_TOKENS), F.col(c)) for c in df.columns})
     return infer_types(df) if typed else df
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet as it is, anything else as CSV."""
-    return spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else read_csv(spark, path)
+def read(spark: SparkSession, path: str, cache: str | None = None, cache_mb: float = 200, sheet: str | None = None) -> DataFrame:
+    """Parquet (a file, or a folder of part files) as it is, a workbook's chosen sheet, anything else as CSV.
+
+    A CSV of at least ``cache_mb`` is written once as Parquet under ``cache`` and read from there as long as the file stays the same.
+    """
+    p = Path(path)
+    if path.rstrip("/").endswith(".parquet") or p.is_dir() and any(p.glob("*.parquet")):
+        return spark.read.parquet(path)
+    if p.suffix.lower() == ".xlsx":
+        at = tempfile.mkdtemp(prefix="veritab-sheet-") if cache is None else cache
+        return read_csv(spark, xlsx.extract(path, xlsx.choose(xlsx.sheets(path), sheet), at))
+    if cache is None or p.stat().st_size < cache_mb * 2**20:
+        return read_csv(spark, path)
+    own = f"{cache.rstrip('/')}/{p.stem}-{p.stat().st_size}-{p.stat().st_mtime_ns}"
+    if not (Path(own) / "_SUCCESS").exists():
+        read_csv(spark, path).write.mode("overwrite").parquet(own)
+    return spark.read.parquet(own)
+
+
+def read_sheets(spark: SparkSession, path: str, names: list[str], folder: str) -> DataFrame:
+    """Several sheets of a workbook under each other, by column names; empty sheets are left out."""
+    return union_sheets([df for df in (read_csv(spark, xlsx.extract(path, n, folder), typed=False) for n in names) if df.columns])
+
+
+def estimate_rows(spark: SparkSession, path: str) -> int:
+    """Lines of a text file, the header among them, counted by Spark."""
+    return spark.read.text(path).count()
+
+
+def prefer_ready(folder: str) -> str | None:
+    """The table to analyse: the ready one if there is one, else the latest cleaned attempt."""
+    base = Path(folder)
+    if (base / "analysis_ready").exists():
+        return str(base / "analysis_ready")
+    attempts = sorted((base / "cleaned").glob("attempt=*"), key=lambda p: int(p.name.split("=")[1]))
+    return str(attempts[-1]) if attempts else None
+
+
+def content_hash(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file on any storage Spark reads."""
+    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
+
+
+def encrypt_file(spark: SparkSession, path: str, out: str, key: bytes) -> None:
+    """A file's content encrypted with AES-GCM, as Parquet (path, content)."""
+    spark.read.format("binaryFile").load(path).select("path", F.aes_encrypt("content", F.lit(key)).alias("content")).write.mode("overwrite").parquet(out)
+
+
+def decrypt_file(spark: SparkSession, at: str, key: bytes) -> bytes:
+    return bytes(spark.read.parquet(at).select(F.aes_decrypt("content", F.lit(key)).alias("c")).first()["c"])
+
+
+def date_forms(df: DataFrame) -> DataFrame:
+    """Text columns of dates as timestamps, by the one form that nearly all their values have; other values become null."""
+    from veritab.operators.quality import date_formats
+
+    texts = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
+    return df.withColumns({c: F.try_to_timestamp(F.trim(c), F.lit(form)).cast("timestamp_ntz") for c, form in date_formats(df, texts).items() if form})
 
 
 def union_sheets(sheets: list[DataFrame]) -> DataFrame:
@@ -97,9 +186,16 @@ def union_sheets(sheets: list[DataFrame]) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, name: str = "_row_id") -> DataFrame:
-    """Dense zero-based row ids in the order of the files, without ordering the table in one task."""
-    schema = df.schema.add(name, "long", False)
-    return df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
+    """Dense zero-based row ids in the order of the files: Spark's own ids give partition and place, and each partition starts where those before it end.
+
+    Ids are stable only over a stable input, so ``df`` is a table that was read, not a plan with a shuffle.
+    """
+    place = F.monotonically_increasing_id()
+    rows = df.select("*", place.alias("_at"), F.spark_partition_id().alias("_part"))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_start"))
+    return rows.join(starts, "_part").select(*df.columns, (F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias(name))
 
 
 def write_attempt(df: DataFrame, folder: str, attempt: int) -> str:
