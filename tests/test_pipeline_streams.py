@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 
 from veritab import pipeline
+from veritab.operators import understanding
 from veritab.streaming import kpi as stream
 
 
@@ -46,7 +47,7 @@ def test_run_uses_mechanisms_outliers_and_points(spark, tmp_path):
 
 def test_helpers():
     assert pipeline.first_json('text {bad {"a": {"b": 1}} more') == {"a": {"b": 1}} and pipeline.first_json("none") is None
-    assert pipeline.domain(["employee_id", "salary", "x"]) == ("hr", 0.7) and pipeline.fmt(1234.5) == "1,234.50" and pipeline.fmt(None) == "n/a"
+    assert understanding.domain_of("employee_id salary x") == ("hr", 0.7) and pipeline.fmt(1234.5) == "1,234.50" and pipeline.fmt(None) == "n/a"
 
 
 def test_streams_equal_batches(spark, tmp_path):

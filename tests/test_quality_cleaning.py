@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from veritab.operators import charts, cleaning, profiling, quality, verify
+from veritab.operators import render, charts, cleaning, profiling, quality, verify
 from veritab.sources import files
 
 
@@ -98,7 +98,7 @@ def test_charts(spark):
     assert got == [("a", 60.0, 60.0), ("b", 90.0, 90.0), ("c", 100.0, 100.0), ("d", 100.0, 100.0)]
     assert {r["k"]: r["v"] for r in charts.top_rest(g, "k", "v", 2).collect()} == {"a": 60.0, "b": 30.0, "$rest": 5.0}
     ranked, cut = charts.rank([charts.Chart("bar", ("a", "b"), "", 0.9), charts.Chart("bar", ("b", "a"), "", 0.8), charts.Chart("line", ("a",), "", 0.7)], most=1)
-    assert len(ranked) == 1 and cut and "&lt;b&gt;" in charts.bar_svg("<b>", [("x", 1.0), ("y", -2.0)])
+    assert len(ranked) == 1 and cut and "&lt;b&gt;" in render.render("bar", "<b>", [("x", 1.0), ("y", -2.0)])
 
 
 def test_verdict_and_claims():

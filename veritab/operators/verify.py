@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import html
+import json
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,13 @@ class Evidence:
         self.entries[evidence_id] = {"kind": kind, "value": value, **facts}
         return evidence_id
 
+    def save(self, path: str) -> None:
+        Path(path).write_text(json.dumps(self.entries, default=str))
+
+    @classmethod
+    def load(cls, path: str) -> Evidence:
+        return cls(json.loads(Path(path).read_text()))
+
 
 @dataclass
 class Claim:
@@ -117,9 +125,3 @@ def verdict(critical: int, warnings: int, reasons: tuple[str, ...] = ()) -> str:
     if critical or hard:
         return "NEEDS_REVISION"
     return "APPROVED_WITH_WARNINGS" if warnings else "APPROVED"
-
-
-def report(title: str, sections: dict[str, list[str]], charts: list[str] = ()) -> str:
-    """A self-contained HTML page; all text is escaped, charts are SVG of this library."""
-    body = "".join(f"<section><h2>{html.escape(h)}</h2>" + "".join(f"<p>{html.escape(p)}</p>" for p in ps) + "</section>" for h, ps in sections.items())
-    return f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{body}{''.join(charts)}"
