@@ -320,12 +320,6 @@ def exact_duplicates(spark, sf_dir):
     return profiling.duplicates(table(spark, sf_dir, "finance"))
 
 
-@query()
-def column_roles(spark, sf_dir):
-    found = profiling.roles(table(spark, sf_dir, "employee_analytics"))
-    return spark.createDataFrame([(r.column, r.role, ",".join(r.alternates)) for r in found.values()], "column_name string, role string, alternates string")
-
-
 @query("""SELECT 'customer_email' AS column_name, count(*) FILTER (regexp_matches(customer_email, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS emails,
 count(*) FILTER (regexp_matches(customer_email, '^\\s*(?:\\+|00)?[0-9][0-9 ().-]{7,}[0-9]\\s*$')) AS phones, true AS by_name FROM sales_demo
 UNION ALL SELECT 'product', count(*) FILTER (regexp_matches(product, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')), count(*) FILTER (regexp_matches(product, '^\\s*(?:\\+|00)?[0-9][0-9 ().-]{7,}[0-9]\\s*$')), false FROM sales_demo""")
@@ -345,16 +339,6 @@ def stratified_sample(spark, sf_dir):
     return profiling.stratified_sample(table(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey").select("c_mktsegment", "c_custkey")
 
 
-@query()
-def even_sample(spark, sf_dir):
-    return profiling.even_sample(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 1500)
-
-
-@query()
-def fingerprint(spark, sf_dir):
-    return profiling.fingerprint(table(spark, sf_dir, "orders"))
-
-
 # -- quality -----------------------------------------------------------------------------------------------------------
 
 
@@ -412,13 +396,13 @@ def co_missing_jaccard(spark, sf_dir):
 
 def _ordered(spark, sf_dir) -> DataFrame:
     k = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").select((k - 1).alias("row_id"), "o_orderstatus", "o_totalprice")
+    rows = table(spark, sf_dir, "orders").select(k.alias("row_id"), "o_orderstatus", "o_totalprice")
     n = rows.agg(F.count("*").alias("n"), F.min("row_id").alias("lo")).withColumn("one", F.lit(1))
     rows = rows.withColumn("one", F.lit(1)).join(n, "one")
     return rows.select("row_id", "o_orderstatus", F.when((F.col("row_id") >= F.floor(F.col("n") / 3)) | (F.col("row_id") % 2 == 0), F.col("o_totalprice")).alias("mnar"), F.when(F.col("row_id") % 9 != 0, F.col("o_totalprice")).alias("mcar"))
 
 
-_ORDERED = """WITH n AS (SELECT count(*) AS n FROM orders), o AS (SELECT o_orderkey - 1 AS row_id, n, CASE WHEN o_orderkey - 1 >= n // 3 OR (o_orderkey - 1) % 2 = 0 THEN o_totalprice END AS mnar, CASE WHEN (o_orderkey - 1) % 9 <> 0 THEN o_totalprice END AS mcar FROM orders, n),
+_ORDERED = """WITH n AS (SELECT count(*) AS n FROM orders), o AS (SELECT o_orderkey AS row_id, n, CASE WHEN o_orderkey >= n // 3 OR (o_orderkey) % 2 = 0 THEN o_totalprice END AS mnar, CASE WHEN (o_orderkey) % 9 <> 0 THEN o_totalprice END AS mcar FROM orders, n),
 t AS (SELECT *, CASE WHEN row_id < n // 3 THEN 0 WHEN row_id < 2 * n // 3 THEN 1 ELSE 2 END::INT AS third FROM o)"""
 
 
@@ -427,11 +411,6 @@ def missing_thirds(spark, sf_dir):
     return quality.missing_thirds(_ordered(spark, sf_dir), ["mnar", "mcar"], "row_id")
 
 
-@query()
-def missing_mechanism(spark, sf_dir):
-    return quality.missing_mechanism(_ordered(spark, sf_dir), ["mnar", "mcar"], ["o_orderstatus"], "row_id")
-
-
 _NA, _UNK = (", ".join(f"'{t}'" for t in ts) for ts in (quality.NA_TEXTS, quality.UNKNOWN_TEXTS))
 
 
@@ -522,11 +501,6 @@ def normalize_text(spark, sf_dir):
     return table(spark, sf_dir, "sales_duplicates").select("row_id", cleaning.normalize_text(F.col("product")).alias("product"))
 
 
-@query()
-def normalize_nfc(spark, sf_dir):
-    return table(spark, sf_dir, "sales_duplicates").select("row_id", cleaning.nfc("product").alias("product"))
-
-
 @query("""WITH a AS (SELECT c_acctbal AS x FROM customer), b AS (SELECT x FROM a WHERE x >= 0)
 SELECT 'c_acctbal' AS measure, (SELECT count(*) FROM a) AS rows_before, (SELECT count(*) FROM b) AS rows_after, round((SELECT sum(x) FROM a), 2) AS sum_before, round((SELECT sum(x) FROM b), 2) AS sum_after, round((SELECT sum(x) FROM b) - (SELECT sum(x) FROM a), 2) AS delta, round((SELECT median(x) FROM b), 2) AS median_after""")
 def impact_delta(spark, sf_dir):
@@ -535,14 +509,6 @@ def impact_delta(spark, sf_dir):
     return _r(out.select("measure", "rows_before", "rows_after", "sum_before", "sum_after", "delta", "median_after"), 2)
 
 
-@query()
-def clean_pipeline(spark, sf_dir):
-    """Mechanism, strategy and execution on the planted gaps."""
-    rows = _ordered(spark, sf_dir)
-    missing = {r["column_name"]: (r["missing_rate"], r["mechanism"]) for r in quality.missing_mechanism(rows, ["mnar", "mcar"], ["o_orderstatus"], "row_id").collect()}
-    return cleaning.execute(rows, cleaning.build_strategy({"mnar": "measure", "mcar": "measure"}, missing, negative=["mcar"], outliers=["mcar"]))
-
-
 # -- charts and verification ---------------------------------------------------------------------------------------------
 
 
@@ -572,17 +538,6 @@ def stacked_sums(spark, sf_dir):
     return _r(charts.stacked(table(spark, sf_dir, "customer"), "c_mktsegment", ["c_acctbal"]), 2)
 
 
-@query()
-def chart_plan(spark, sf_dir):
-    plan = build_plan({"kpis": [{"operation": op} for op in FUSED]})
-    orders = table(spark, sf_dir, "orders")
-    dims = sorted({k.op.group_by[0] for k in plan.kpis if k.op.group_by})
-    sizes = orders.agg(*[F.count_distinct(d).alias(d) for d in dims]).first().asDict()
-    found = [c for k in plan.kpis for c in charts.plan_op(k.op, sizes.get(k.op.group_by[0], 0) if k.op.group_by else 0, 12)] + charts.plan_measures(["o_totalprice"], 100)
-    ranked, _ = charts.rank(found)
-    return spark.createDataFrame([(c.kind, ",".join(c.columns), c.reason) for c in ranked], "kind string, columns string, reason string")
-
-
 @query("SELECT 'ok' AS status, 12 + 3 * count(DISTINCT o_orderstatus) AS n FROM orders UNION ALL SELECT 'null', 1")
 def kpi_recompute_compare(spark, sf_dir):
     """Fused results against statements of their own in SQL text, for all eleven functions, each KPI and group on its own."""
@@ -637,8 +592,3 @@ def stream_once(spark, sf_dir):
     return stream.once(table(spark, sf_dir, "events"), "ts", ["event_id"]).groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
 
 
-@query()
-def infer_csv_types(spark, sf_dir):
-    """Text columns typed by content, as after reading a CSV."""
-    text = table(spark, sf_dir, "supplier").select(*[F.col(c).cast("string").alias(c) for c in ("s_suppkey", "s_name", "s_nationkey", "s_acctbal")])
-    return files.infer_types(text)
