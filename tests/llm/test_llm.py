@@ -1,5 +1,6 @@
 """The llm operators against brute force, exact round trips and planted cases, with the awkward inputs."""
 
+import itertools
 import os
 import random
 from collections import Counter
@@ -212,12 +213,15 @@ def plain_cover(passage, doc, min_run=4):
 
 
 def test_alignment_score_is_optimal():
+    """The best path's score equals that of a cell-by-cell alignment, and a path never holds more words than it can."""
     rng = np.random.default_rng(3)
-    for _ in range(20):
-        p = rng.integers(1, 12, 14).astype(np.int32)
-        d = np.concatenate([rng.integers(1, 30, 5), p[:6], rng.integers(1, 30, 4), p[7:], rng.integers(1, 30, 3)]).astype(np.int32)
-        assert plain_cover(p, d) >= 8
-        assert leak.held_words([(p, d)])[0] >= 10
+    for _ in range(40):
+        p = rng.integers(1, 12, rng.integers(3, 14)).astype(np.int32)
+        d = np.concatenate([rng.integers(1, 30, rng.integers(0, 6)), p[:6], rng.integers(1, 30, rng.integers(0, 5)), p[7:], rng.integers(1, 12, rng.integers(0, 4))]).astype(np.int32)
+        assert leak.best_scores([(p, d)]) == [plain_cover(p, d)]
+        assert 0 <= leak.held_words([(p, d)])[0] <= len(p)
+    pairs = [(rng.integers(1, 9, 10).astype(np.int32), rng.integers(1, 9, 12).astype(np.int32)) for _ in range(9)]
+    assert leak.best_scores(pairs) == [plain_cover(p, d) for p, d in pairs]
 
 
 def test_planted_leaks(spark):
@@ -294,6 +298,21 @@ def test_words():
 
 # -- subjects ----------------------------------------------------------------------------------------------------------
 
+def test_frequent_sets_against_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(sorted(set(rng.choices("abcdefghijklmnop", weights=range(1, 17), k=rng.randint(0, 14)))), sorted(set(rng.choices(["x", "y"], k=rng.randint(0, 2))))) for _ in range(400)]
+    got = subjects.frequent_sets(spark.createDataFrame(rows, "words array<string>, marks array<string>"), 6)
+    want = {}
+    for size in (1, 2, 3):
+        for own in itertools.combinations("abcdefghijklmnop", size):
+            holding = [m for w, m in rows if set(own) <= set(w)]
+            by = {k: n for k in ("x", "y") if (n := sum(k in m for m in holding)) >= 6}
+            if by:
+                want[frozenset(own)] = (len(holding), by)
+    assert got == want and len(want) > 300
+    assert subjects.frequent_sets(spark.createDataFrame([], "words array<string>, marks array<string>"), 6) == {}
+
+
 TOPICS = {"sport": ["goalkeeper", "regatta", "striker", "marathon", "judo"], "farming": ["barley", "tractor", "orchard", "harvester", "lambing"], "law": ["docket", "bailiff", "subpoena", "affidavit", "registry"]}
 
 
@@ -311,7 +330,7 @@ def ruling(rng, own):
     return "JUDGMENT\nbetween X and Y\n" + "\n".join(f"{k}. {f}" for k, f in enumerate(facts, 1)) + "\nOrder: dismissed."
 
 
-def test_subjects_on_held_out_documents(spark):
+def test_subjects_on_held_out_documents(spark, tmp_path):
     rng = random.Random(5)
     truth = {i: rng.sample(list(TOPICS), 2 if rng.random() < 0.2 else 1) for i in range(500)}
     rows = [(i, ruling(rng, own), f"D{i // 2}", "clash") for i, own in truth.items()]
@@ -328,6 +347,9 @@ def test_subjects_on_held_out_documents(spark):
     hit = sum(len(got[i] & set(truth[i])) for i in held)
     assert hit / sum(len(got[i]) for i in held) > 0.93 and hit / sum(len(truth[i]) for i in held) > 0.93
     assert any({"comparison", "colourful", "beside", "counsel", "point"} & b for b in model.blocks)
+    model.save(str(tmp_path / "model.json"))
+    again = subjects.Model.load(str(tmp_path / "model.json"))
+    assert sorted(map(tuple, subjects.score(docs, again).collect())) == sorted(map(tuple, subjects.score(docs, model).collect()))
     empty = subjects.fit(docs.where("1 = 0"), marks)
     assert subjects.score(docs, empty).count() == 0 and subjects.score(docs.where("1 = 0"), model).count() == 0
     assert Counter(len(v) for v in got.values())[1] > 300

@@ -144,11 +144,19 @@ def _shorten(passage: np.ndarray, doc: np.ndarray, reach: int = REACH) -> np.nda
 
 
 def held_words(pairs: list[tuple[np.ndarray, np.ndarray]], min_run: int = 4) -> list[int]:
-    """For each (passage, document): words of the passage on the best affine-gap Smith-Waterman path, gap extension free.
-
-    All pairs advance together, a row of the matrix at a time.
-    """
+    """For each (passage, document): words of the passage on the best affine-gap Smith-Waterman path, gap extension free."""
     pairs = [(p, _shorten(p, d) if len(p) and len(d) else d) for p, d in pairs]
+    move, src_up, src_left, _, top_at = _align(pairs)
+    return [_trace(move[:, x], src_up[:, x], src_left[:, x], *pairs[x], *map(int, top_at[x]), min_run) for x in range(len(pairs))]
+
+
+def best_scores(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[int]:
+    """The score of the best path of each pair."""
+    return _align(pairs)[3].tolist()
+
+
+def _align(pairs: list[tuple[np.ndarray, np.ndarray]]):
+    """Moves, their sources, best scores and where they end; all pairs advance together, a row of the matrix at a time."""
     m, n, k = max(len(p) for p, _ in pairs), max(len(d) for _, d in pairs), len(pairs)
     ps, ds = np.full((k, m), -1, np.int32), np.full((k, n), -2, np.int32)
     for x, (p, d) in enumerate(pairs):
@@ -184,7 +192,7 @@ def held_words(pairs: list[tuple[np.ndarray, np.ndarray]], min_run: int = 4) ->
         value = best[np.arange(k), at]
         new = value > top
         top[new], top_at[new] = value[new], np.stack([np.full(k, i), at], 1)[new]
-    return [_trace(move[:, x], src_up[:, x], src_left[:, x], *pairs[x], *map(int, top_at[x]), min_run) for x in range(k)]
+    return move, src_up, src_left, top, top_at
 
 
 def _trace(move, src_up, src_left, passage, doc, i: int, j: int, min_run: int) -> int:

@@ -3,10 +3,11 @@
 Fit (on at most ``max_labelled`` labelled documents, chosen by a hash of their id):
 
 1. *Topic words*: words whose documents carry some label far more often than usual (lift and chi-squared).
-2. *Rules*: the topic words of a sentence and the labels of its document are a transaction; ``FPGrowth`` finds the frequent
-   sets, and each set with one label gives a rule ``words -> subject``.  A rule is pruned unless it is significant and
-   more confident than every more general one.  Sentences that versions of one docket repeat count once.
-3. *Blocking rules*: sentences whose best rule names a subject the document lacks are failures.  ``FPGrowth`` over the
+2. *Rules*: the topic words of a whole sentence and the labels of its document are a transaction.  Parallel FP-growth
+   (``frequent_sets``) finds the frequent sets of up to three words with their counts for each label, and each set with one label gives
+   a rule ``words -> subject``.  A rule is pruned unless it is significant and more confident than every more general one.
+   Sentences that versions of one docket repeat count once.
+3. *Blocking rules*: sentences whose best rule names a subject the document lacks are failures.  FP-growth over the
    other words of those sentences finds frames ("counsel's comparison with ...") under which evidence fails.
 4. *Calibration*: a logistic regression per feature set turns a document's evidence for a subject into a probability.
 
@@ -19,30 +20,36 @@ ignored; without any labelled document the result is empty.
 
 from __future__ import annotations
 
+import json
 import math
 import re
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritab.llm.text import join_lines, token_words
 from veritab.shared import ensure_checkpoint_dir
 
-CHUNK = 8
+#: Words of a rule or frame at most, and the shards of the search for frequent sets.
+MOST, SHARDS = 3, 64
 #: A line that opens with the number of a paragraph.
 PARAGRAPH = re.compile(r"\n\s*(?:¶ ?\d{1,3}|\[\d{1,3}\]|\(\d{1,3}\)|\d{1,3}(?:\.| -|  ))(?= )")
 
 
+def _tokens(text: str) -> list[str]:
+    return PARAGRAPH.sub(" ! ", join_lines(text)).split()
+
+
 def cut(text: str) -> list[list[str]]:
     """Sentences as lists of words of three letters or more without digits; a numbered paragraph starts a new one."""
     out, now = [], []
-    for token in PARAGRAPH.sub(" ! ", join_lines(text)).split():
+    for token in _tokens(text):
         own, ends = _TOKENS[token]
         now.extend(own)
         if ends and now:
@@ -68,6 +75,22 @@ class _Tokens(dict):
 _TOKENS = _Tokens()
 
 
+class _Relevant(dict):
+    """What a token contributes to scoring: its words that some rule or frame has, and whether a sentence ends; None if neither."""
+
+    def __init__(self, words: set[str]):
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, token: str):
+        if len(self) >= _Tokens.LIMIT:
+            self.clear()
+        own, ends = _TOKENS[token]
+        own = tuple(w for w in own if w in self.words)
+        self[token] = value = (own, ends) if own or ends else None
+        return value
+
+
 @dataclass
 class Model:
     """What scoring needs; its size is bounded by the labelled sample, not by the corpus."""
@@ -88,6 +111,31 @@ class Model:
         for r, of in self.rules.items():
             self.by_word[min(r)].append((r, of))
         self.block_words = {w for b in self.blocks for w in b}
+        self.relevant = _Relevant(self.topic | self.block_words)
+
+    def cut(self, text: str) -> list[list[str]]:
+        """The sentences with the words that scoring looks at; sentences without any are left out."""
+        out, now = [], []
+        for own, ends in filter(None, map(self.relevant.__getitem__, _tokens(text))):
+            now.extend(own)
+            if ends and now:
+                out.append(now)
+                now = []
+        return out + [now] if now else out
+
+    def save(self, path: str) -> None:
+        """The model as JSON, to score later documents without fitting again."""
+        rules = [[sorted(r), {str(k): v for k, v in of.items()}] for r, of in self.rules.items()]
+        weights = None if self.weights is None else self.weights.tolist()
+        with open(path, "w") as f:
+            json.dump({"subjects": self.subjects, "rules": rules, "blocks": [sorted(b) for b in self.blocks], "weights": weights, "threshold": self.threshold}, f)
+
+    @classmethod
+    def load(cls, path: str) -> Model:
+        with open(path) as f:
+            d = json.load(f)
+        rules = {frozenset(r): {int(k): v for k, v in of.items()} for r, of in d["rules"]}
+        return cls(d["subjects"], rules, {frozenset(b) for b in d["blocks"]}, None if d["weights"] is None else np.array(d["weights"]), d["threshold"])
 
     def evidence(self, words: list[str]) -> dict[int, float]:
         """Subject index -> the strongest matching rule's log odds."""
@@ -149,12 +197,65 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def _frequent(transactions: DataFrame, least: int) -> dict[frozenset[str], int]:
-    n = transactions.count()
-    if not n:
+def frequent_sets(transactions: DataFrame, least: int, most: int = MOST) -> dict[frozenset[str], tuple[int, dict[str, int]]]:
+    """Sets of up to ``most`` words that some mark goes with ``least`` times: the set's transactions, and those of each such mark.
+
+    Parallel FP-growth: words are ranked by their transactions; a transaction goes to the shard of each of its words as the more frequent
+    words before it, and a shard grows the sets whose rarest word is its own, from conditional bases in which equal transactions
+    are one.  ``transactions`` has (words array<string>, marks array<string>).
+    """
+    equal = transactions.groupBy("words", "marks").agg(F.count("*").alias("n")).checkpoint()
+    counts = equal.select(F.explode("words").alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    ranked = [r["w"] for r in counts.orderBy(F.desc("n"), "w").toLocalIterator()]
+    marks = sorted(r["m"] for r in equal.select(F.explode("marks").alias("m")).distinct().collect())
+    if not ranked or not marks:
         return {}
-    found = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n)).fit(transactions).freqItemsets
-    return {frozenset(r["items"]): int(r["freq"]) for r in found.toLocalIterator()}
+    rank, place = {w: i for i, w in enumerate(ranked)}, {m: i for i, m in enumerate(marks)}
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for words, own, n in zip(pdf["words"], pdf["marks"], pdf["n"]):
+                items = sorted(rank[w] for w in words if w in rank)
+                where = {item % SHARDS: k for k, item in enumerate(items)}  # the rarest word of each shard
+                out += [(shard, items[: k + 1], [place[m] for m in own], n) for shard, k in where.items()]
+            yield pd.DataFrame(out, columns=["shard", "items", "marks", "n"])
+
+    def mine(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard, base = int(pdf["shard"].iloc[0]), Counter()
+        # all counts of a set are one integer: its transactions in the lowest 40 bits, each mark's in the next ones
+        for items, own, n in zip(pdf["items"], pdf["marks"], pdf["n"]):
+            base[tuple(items)] += int(n) * (1 + sum(1 << 40 * (int(m) + 1) for m in own))
+        field = (1 << 40) - 1
+        out: list[tuple] = []
+
+        def grow(conditional: dict, suffix: tuple) -> None:
+            found: Counter = Counter()
+            for items, n in conditional.items():
+                for x in items:
+                    if suffix or x % SHARDS == shard:
+                        found[x] += n
+            for x, n in found.items():
+                of = [(m, c) for m in range(len(marks)) if (c := n >> 40 * (m + 1) & field) >= least]
+                if not of:  # no larger set can have more
+                    continue
+                own = (x, *suffix)
+                out.append((list(own), n & field, [m for m, _ in of], [c for _, c in of]))
+                if len(own) < most:
+                    narrower: Counter = Counter()
+                    for items, k in conditional.items():
+                        at = bisect_left(items, x)
+                        if at and at < len(items) and items[at] == x:
+                            narrower[items[:at]] += k
+                    if narrower:
+                        grow(narrower, own)
+
+        grow(base, ())
+        return pd.DataFrame(out, columns=["items", "n", "marks", "of"])
+
+    shards = equal.mapInPandas(spread, "shard int, items array<int>, marks array<int>, n long")
+    found = shards.groupBy("shard").applyInPandas(mine, "items array<int>, n long, marks array<int>, of array<long>")
+    return {frozenset(ranked[i] for i in r["items"]): (r["n"], {marks[m]: c for m, c in zip(r["marks"], r["of"])}) for r in found.toLocalIterator()}
 
 
 def fit(
@@ -212,29 +313,22 @@ def _topic_rules(model: Model, rows: DataFrame, index: dict[str, int], min_docs:
 
     def transactions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = set()
-            for grp, own, text in zip(pdf["grp"], pdf["labels"], pdf["cut"]):
-                mark = tuple(f"={s}" for s in own)
-                for words in _sentences(text):
-                    items = list(dict.fromkeys(w for w in words if w in topic))
-                    for k in range(0, max(1, len(items) - CHUNK // 2), CHUNK // 2):
-                        if part := items[k : k + CHUNK]:
-                            out.add((grp, (*sorted(part), *mark)))
-            yield pd.DataFrame({"grp": [g for g, _ in out], "items": [list(i) for _, i in out]}, dtype=object)
+            out = {
+                (grp, tuple(sorted(items)), tuple(own))
+                for grp, own, text in zip(pdf["grp"], pdf["labels"], pdf["cut"]) for words in _sentences(text) if (items := topic.intersection(words))
+            }
+            yield pd.DataFrame([(g, list(i), list(m)) for g, i, m in out], columns=["grp", "words", "marks"], dtype=object)
 
-    data = rows.mapInPandas(transactions, "grp string, items array<string>").distinct().checkpoint()
+    data = rows.mapInPandas(transactions, "grp string, words array<string>, marks array<string>").distinct().checkpoint()
     count = data.count()
     if not count:
         return
-    marks = {r["m"]: r["count"] for r in data.select(F.explode(F.filter("items", lambda x: x.startswith("="))).alias("m")).groupBy("m").count().collect()}
-    prior = np.clip(np.array([marks.get(f"={s}", 0) for s in model.subjects]) / count, 1e-3, 1 - 1e-3)
-    frequent = _frequent(data.select("items"), max(min_docs, rows.count() // 2000))
+    marks = {r["m"]: r["count"] for r in data.select(F.explode("marks").alias("m")).groupBy("m").count().collect()}
+    prior = np.clip(np.array([marks.get(s, 0) for s in model.subjects]) / count, 1e-3, 1 - 1e-3)
     conf: dict[frozenset[str], dict[int, tuple[float, int]]] = defaultdict(dict)
-    for items, n in frequent.items():
-        mark = [i for i in items if i[0] == "="]
-        words = items - set(mark)
-        if len(mark) == 1 and 1 <= len(words) <= 3:
-            s, of = index[mark[0][1:]], frequent.get(words, n)
+    for words, (of, by) in frequent_sets(data, max(min_docs, rows.count() // 2000)).items():
+        for mark, n in by.items():
+            s = index[mark]
             p = (n + 2 * prior[s]) / (of + 2)
             conf[words][s] = (math.log(p / (1 - p)) - math.log(prior[s] / (1 - prior[s])), of)
     for words, of in conf.items():
@@ -272,25 +366,18 @@ def _blocking_rules(model: Model, rows: DataFrame, index: dict[str, int]) -> Non
     words = found.select(F.explode(F.split("rest", " ")).alias("w"), "bad").where(F.length("w") > 0)
     counts = words.groupBy("w").agg(F.count_if("bad").alias("bad"), F.count("*").alias("all"))
     counts = counts.where((F.col("bad") >= 4) & (F.col("bad") / F.col("all") >= max(0.35, 1.8 * base)))
-    order = {r["w"]: (-r["bad"], r["w"]) for r in counts.collect()}
+    order = {r["w"] for r in counts.collect()}
 
     def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for rest, bad in zip(pdf["rest"], pdf["bad"]):
-                items = sorted((w for w in rest.split(" ") if w in order), key=order.get)[:CHUNK]
-                if items:
-                    out.append([*items, "=bad"] if bad else items)
-            yield pd.DataFrame({"items": out}, dtype=object)
+            out = [(items, ["bad"] if bad else []) for rest, bad in zip(pdf["rest"], pdf["bad"]) if (items := sorted(order.intersection(rest.split(" "))))]
+            yield pd.DataFrame(out, columns=["words", "marks"], dtype=object)
 
-    frequent = _frequent(found.select("rest", "bad").mapInPandas(frames, "items array<string>").checkpoint(), 4)
     rules = {}
-    for words, n in frequent.items():
-        frame = words - {"=bad"}
-        if "=bad" in words and 1 <= len(frame) <= 3 and n >= 6:
-            share = n / frequent[frame]
-            if share - 1.3 * math.sqrt(share * (1 - share) / frequent[frame]) >= limit:
-                rules[frame] = share
+    for frame, (of, by) in frequent_sets(found.select("rest", "bad").mapInPandas(frames, "words array<string>, marks array<string>"), 6).items():
+        share = by["bad"] / of
+        if share - 1.3 * math.sqrt(share * (1 - share) / of) >= limit:
+            rules[frame] = share
     model.blocks = {w for w in rules if not any(w - {x} in rules for x in w if len(w) > 1)}
     model.index()
 
@@ -322,7 +409,7 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
                 if not text.strip():
                     continue
-                p = model.probabilities(cut(text))
+                p = model.probabilities(model.cut(text))
                 chosen = np.flatnonzero(p >= model.threshold)
                 for s in chosen if len(chosen) else [int(p.argmax())]:
                     out.append((doc, model.subjects[s], float(p[s])))
