@@ -269,9 +269,9 @@ def fit(
     group = F.col(group_col).cast("string") if group_col else F.lit(None).cast("string")
     grp = F.coalesce(group, F.concat(F.lit("#"), F.col(id_col).cast("string")))
     docs = documents.select(F.col(id_col).alias("id"), grp.alias("grp"), F.col(text_col).alias("text")).where(F.length(F.trim("text")) > 0)
-    # the labelled ids are the small side by nature; Spark decides by their size whether to broadcast them
     ids = docs.select("id").join(own, "id").select("id", "labels").orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    rows = docs.join(ids, "id").mapInPandas(_cut_rows, "grp string, labels array<string>, cut string").checkpoint()
+    # at most max_labelled ids, so the texts of the corpus need no shuffle
+    rows = docs.join(F.broadcast(ids), "id").mapInPandas(_cut_rows, "grp string, labels array<string>, cut string").checkpoint()
     subjects = [r["s"] for r in rows.select(F.explode("labels").alias("s")).distinct().orderBy("s").collect()]
     model = Model(subjects, threshold=threshold)
     if not subjects:
