@@ -218,11 +218,14 @@ def encode(
     )
 
 
-def decode(ids: Column, vocabulary: str | None = None) -> Column:
-    """Text of a list of token ids: the tokens' byte strings laid end to end."""
+def decode(ids: Column, vocabulary: str | None = None, step: int = 64) -> Column:
+    """Text of a list of token ids: the tokens' binary pieces laid end to end, ``step`` at a time so that long lists don't copy their start again and again."""
     ranks = load_ranks(vocabulary or default_vocabulary())
     by_id = [""] * (max(ranks.values()) + 1)
     for token, at in ranks.items():
-        by_id[at] = token.hex().upper()
-    pieces = F.split(F.lit(",".join(by_id)), ",")
-    return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(pieces, i + 1)), "")), "utf-8")
+        by_id[at] = base64.b64encode(token).decode()
+    # a constant of the plan: JSON holds binary values in base64
+    pieces, empty = F.from_json(F.lit(json.dumps(by_id)), "array<binary>"), F.lit(b"")
+    own = lambda k: F.aggregate(F.slice(ids, k * step + 1, F.lit(step)), empty, lambda out, i: F.concat(out, F.element_at(pieces, i + 1)))
+    starts = F.sequence(F.lit(0), F.floor((F.greatest(F.size(ids), F.lit(1)) - 1) / step).cast("int"))
+    return F.decode(F.aggregate(F.transform(starts, own), empty, lambda out, part: F.concat(out, part)), "utf-8")

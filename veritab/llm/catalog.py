@@ -75,6 +75,13 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, and those whose decoded ids are their text again (null as the empty text)."""
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), keep=("doc_id", "text"))
+    same = bpe.decode(F.col("ids")) == F.coalesce("text", F.lit(""))
+    return encoded.agg(F.count("*").alias("documents"), F.count_if(same).alias("equal"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -95,7 +102,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.sum("w"), 6).alias("weight"))
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_within, p3_found, p3_records, p6_ids, p7_found, p8_found, p8_composition)}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_within, p3_found, p3_records, p6_ids, p6_roundtrip, p7_found, p8_found, p8_composition)}
 
 _KEYS = r"""
 WITH k AS (SELECT *, regexp_replace(lower(upper(order_id)), '[^\p{L}\p{Nd}]', '', 'g') AS o, regexp_replace(lower(upper(date)), '[^\p{L}\p{Nd}]', '', 'g') AS d,
@@ -121,5 +128,6 @@ SELECT department, snapshot_day, percentile, n, true AS within FROM g, (SELECT u
 SQL = {
     "p2_within": _P2,
     "p3_found": _KEYS + "SELECT keep_id, row_id AS copy_id FROM g WHERE row_id <> keep_id",
+    "p6_roundtrip": "SELECT count(*) AS documents, count(*) AS equal FROM documents",
     "p3_records": _KEYS + "SELECT row_id, copies, order_id, date, product, category, revenue, quantity, unit_price FROM g WHERE row_id = keep_id",
 }
