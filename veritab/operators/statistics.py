@@ -113,8 +113,10 @@ def correlation_tests(df: DataFrame, measures: list[str], method: str = "pearson
                 one = spearman_pair(df, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "r", "n")
                 out = one if out is None else out.unionByName(one)
         rows = out if out is not None else df.sparkSession.createDataFrame([], "a string, b string, r double, n long")
-    else:
+    elif len(measures) > 1:
         rows = correlation_matrix(df, measures, diagonal=False)
+    else:
+        rows = df.sparkSession.createDataFrame([], "a string, b string, r double, n long")
     return _tested(rows.where(F.col("r").isNotNull() & (F.col("n") >= 3)), F.col("n"), F.col("r"))
 
 

@@ -84,24 +84,24 @@ class Sql:
     def growth(self, op: Op) -> str:
         t, x = self.instant(op.over_column), self.number(op.column)
         groups = "".join(f"{_name(c)}, " for c in op.group_by)
-        key = "extract(YEAROFWEEK FROM t) * 100 + weekofyear(t)" if op.period == "WoW" else "year(t) * 12 + month(t)"
-        totals = f"SELECT {groups}{key} AS k, sum(x) AS v FROM (SELECT *, {t} AS t, {x} AS x FROM {self.source(op)}) WHERE t IS NOT NULL AND x IS NOT NULL GROUP BY {groups}{key}"
+        key = "extract(YEAROFWEEK FROM __t) * 100 + weekofyear(__t)" if op.period == "WoW" else "year(__t) * 12 + month(__t)"
+        totals = f"SELECT {groups}{key} AS __k, sum(__x) AS __v FROM (SELECT *, {t} AS __t, {x} AS __x FROM {self.source(op)}) WHERE __t IS NOT NULL AND __x IS NOT NULL GROUP BY {groups}{key}"
         same = "".join(f" AND p.{_name(c)} <=> n.{_name(c)}" for c in op.group_by)
         if op.basis != "start_of_period" and op.period != "YoY":
             # the period before is the one whose number is one less
             over = f"PARTITION BY {groups[:-2]} " if op.group_by else ""
-            numbered = f"SELECT *, row_number() OVER ({over}ORDER BY k) AS i FROM totals"
-            joined = f"({numbered}) n JOIN ({numbered}) p ON p.i = n.i - 1{same}"
+            numbered = f"SELECT *, row_number() OVER ({over}ORDER BY __k) AS __i FROM totals"
+            joined = f"({numbered}) n JOIN ({numbered}) p ON p.__i = n.__i - 1{same}"
         elif op.basis == "start_of_period":
             by = f" GROUP BY {groups[:-2]}" if op.group_by else ""
-            firsts = f"SELECT {groups}min_by(v, k) AS v FROM totals{by}"
+            firsts = f"SELECT {groups}min_by(__v, __k) AS __v FROM totals{by}"
             joined = f"totals n JOIN ({firsts}) p ON true{same}"
         else:
-            joined = f"totals n JOIN totals p ON p.k = n.k - 12{same}"
+            joined = f"totals n JOIN totals p ON p.__k = n.__k - 12{same}"
         own = "".join(f"n.{_name(c)}, " for c in op.group_by)
-        grown = f"SELECT {own}n.k, (n.v - p.v) / p.v * {100 if op.as_percent else 1} AS g FROM {joined} WHERE p.v <> 0"
+        grown = f"SELECT {own}n.__k, (n.__v - p.__v) / p.__v * {100 if op.as_percent else 1} AS __g FROM {joined} WHERE p.__v <> 0"
         by, label = self.keys(op)
-        out = f"SELECT {label} AS label, max_by(g, k) AS value FROM ({grown}){by}"
+        out = f"SELECT {label} AS label, max_by(__g, __k) AS value FROM ({grown}){by}"
         return f"WITH totals AS ({totals}) {out}"
 
     def statement(self, op: Op) -> str:
