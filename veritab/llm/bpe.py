@@ -210,12 +210,9 @@ def encode(
     found = docs.select(*keep, "_w", F.transform("_w", lambda w: _lookup(table, w)).alias("_i"))
     rest = F.array_distinct(F.filter("_w", lambda w, i: F.element_at("_i", i + 1).isNull()))
     own = F.map_from_entries(F.transform(rest, lambda w: F.struct(w, fold(_hex(w), rank_map))))
-    return found.select(*keep, "_w", "_i", own.alias("_own")).select(
-        *keep,
-        F.flatten(
-            F.transform("_i", lambda x, i: F.coalesce(x, F.try_element_at(F.col("_own"), F.element_at("_w", i + 1))))
-        ).alias("ids"),
-    )
+    # flatten is null if a word was not found: only then are rare words folded
+    rare = _let(own, lambda m: F.flatten(F.transform("_i", lambda x, i: F.coalesce(x, F.try_element_at(m, F.element_at("_w", i + 1))))))
+    return found.select(*keep, F.coalesce(F.flatten("_i"), rare).alias("ids"))
 
 
 def decode(ids: Column, vocabulary: str | None = None, step: int = 64) -> Column:
