@@ -126,26 +126,31 @@ def group_label(columns: tuple[str, ...]) -> Column:
     return F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in columns])
 
 
-def range_bucket(df: DataFrame, column: str, buckets: int = 64) -> Column:
+def range_bounds(df: DataFrame, columns: list[str], buckets: int = 64) -> dict[str, list]:
+    """Bounds that cut each column into nearly even ranges; one aggregate for all columns."""
+    shares = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
+    row = df.agg(*[F.percentile_approx(c, shares, 1000).alias(f"b{i}") for i, c in enumerate(columns)]).first()
+    return {c: sorted(set(row[f"b{i}"] or [])) for i, c in enumerate(columns)}
+
+
+def range_bucket(df: DataFrame, column: str, bounds: list | None = None) -> Column:
     """The range a value falls in, by bounds collected once: equal wherever it is computed, and nearly even.
 
     A window over ranges plus the ranges' totals replaces one over the whole table, which would run in a single task.
     """
-    shares = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
-    bounds = df.agg(F.percentile_approx(column, shares, 1000).alias("b")).first()["b"] or []
     out = F.lit(0)
-    for b in sorted(set(bounds)):
+    for b in range_bounds(df, [column])[column] if bounds is None else bounds:
         out = out + (F.col(column) > F.lit(b)).cast("int")
     return F.coalesce(out, F.lit(0))
 
 
-def average_rank(df: DataFrame, column: str, out: str, weight: str | None = None) -> DataFrame:
+def average_rank(df: DataFrame, column: str, out: str, weight: str | None = None, bounds: list | None = None) -> DataFrame:
     """Average ranks by way of the distinct values' counts: no window runs over the rows themselves; a row counts ``weight`` times.
 
     Distinct values are ranked within ranges; each range starts where the ones before it end.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
-    counts = counts.withColumn("_range", range_bucket(df, column))
+    counts = counts.withColumn("_range", range_bucket(df, column, bounds))
     starts = counts.groupBy("_range").agg(F.sum("_n").alias("_t"))
     w = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most 64 rows
     starts = starts.select("_range", F.coalesce(F.sum("_t").over(w), F.lit(0)).alias("_start"))
@@ -164,7 +169,8 @@ def spearman(df: DataFrame, op: Op) -> DataFrame:
     where = condition(op)
     rows = (df if where is None else df.where(where)).select(number(df, op.column_a).alias("_a"), number(df, op.column_b).alias("_b"))
     pairs = rows.where(F.col("_a").isNotNull() & F.col("_b").isNotNull()).groupBy("_a", "_b").agg(F.count("*").alias("_w"))
-    ranked = average_rank(average_rank(pairs, "_a", "_ra", "_w"), "_b", "_rb", "_w")
+    bounds = range_bounds(rows, ["_a", "_b"])
+    ranked = average_rank(average_rank(pairs, "_a", "_ra", "_w", bounds["_a"]), "_b", "_rb", "_w", bounds["_b"])
     w, x, y = F.col("_w").cast("double"), F.col("_ra"), F.col("_rb")
     # ranks are centred by their known mean before they are multiplied
     n = F.sum(w)
