@@ -260,9 +260,12 @@ def frequent_sets(transactions: DataFrame, least: int, most: int = MOST) -> dict
 
 def fit(
     documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = "docket_no",
-    subject_col: str = "subject", max_labelled: int = 20_000, min_docs: int = 3, threshold: float = 0.5,
+    subject_col: str = "subject", max_labelled: int = 20_000, min_docs: int | None = None, threshold: float = 0.5,
 ) -> Model:
-    """The model; texts, sentences and transactions stay with the executors, only counts and rules reach the driver."""
+    """The model; texts, sentences and transactions stay with the executors, only counts and rules reach the driver.
+
+    A word needs ``min_docs`` dockets, by default one in 500 labelled documents and 3 at least: a party's name in a few dockets tells no subject.
+    """
     spark = documents.sparkSession
     ensure_checkpoint_dir(spark)
     own = labels.where(F.col(subject_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.array_sort(F.collect_set(subject_col)).alias("labels"))
@@ -276,6 +279,8 @@ def fit(
     model = Model(subjects, threshold=threshold)
     if not subjects:
         return model
+    if min_docs is None:
+        min_docs = max(3, rows.count() // 500)
     index = {s: k for k, s in enumerate(subjects)}
     _topic_rules(model, rows, index, min_docs)
     _blocking_rules(model, rows, index)
