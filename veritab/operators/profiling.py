@@ -32,22 +32,19 @@ def clean_null(df: DataFrame, c: str) -> Column:
 
 
 def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column_name, dtype, rows, nulls, distinct): distinct counts null as a value; one aggregate over the table."""
+    """(rows, column_name, dtype, nulls, distinct_values): distinct counts null as a value.
+
+    Values are counted per (column, value) first, which combines on the map side; several distinct counts in one aggregate would
+    write every row once for each column, with all its other columns.
+    """
     columns = columns or df.columns
-    aggs = [F.count("*").alias("rows")]
-    for i, c in enumerate(columns):
-        v = clean_null(df, c)
-        aggs += [F.count(v).alias(f"n{i}"), F.count_distinct(v).alias(f"d{i}")]
-    row = df.agg(*aggs)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    structs = [
-        F.struct(
-            F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("dtype"), (F.col("rows") - F.col(f"n{i}")).alias("nulls"),
-            (F.col(f"d{i}") + (F.col("rows") > F.col(f"n{i}")).cast("long")).alias("distinct_values"),
-        )
-        for i, c in enumerate(columns)
-    ]
-    return row.select("rows", F.explode(F.array(*structs)).alias("s")).select("rows", "s.*")
+    named = df.sparkSession.createDataFrame([(i, c, kinds[c]) for i, c in enumerate(columns)], "i int, column_name string, dtype string")
+    parts = [F.struct(F.lit(i).alias("i"), clean_null(df, c).cast("string").alias("v")) for i, c in enumerate(columns)]
+    values = df.select(F.explode(F.array(*parts)).alias("u")).groupBy("u.i", "u.v").agg(F.count("*").alias("n"))
+    facts = values.groupBy("i").agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("v").isNull(), F.col("n"))).alias("nulls"), F.count("*").alias("distinct_values"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return named.join(facts, "i", "left").select(zero("rows"), "column_name", "dtype", zero("nulls"), zero("distinct_values"))
 
 
 def duplicate_examples(df: DataFrame, order: str, columns: list[str] | None = None, most: int = 5) -> DataFrame:
