@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+import uuid
+from pathlib import Path
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritab import pipeline
 from veritab.catalog import FUSED, _kpis, _one, _ordered, _r
-from veritab.operators import charts, cleaning, profiling, quality, report, statistics, understanding, verify
+from veritab.operators import charts, cleaning, profiling, quality, report, understanding, verify
 from veritab.plans import compile as kpi
 from veritab.plans.ir import Kpi, build_plan, parse, validate
-from veritab.shared import table
+from veritab.shared import ensure_checkpoint_dir, table
 from veritab.sources import files
 
 QUERIES: dict = {}
@@ -395,3 +400,84 @@ def drafted_claims(spark, sf_dir):
     kpis = [{"name": r["label"], "value": r["value"], "evidence": evidence.add("kpi", r["value"])} for r in rows]
     kept, _ = verify.validate_claims(verify.draft_claims(kpis, [], [], []), evidence)
     return spark.createDataFrame([(c.text.split(" is ")[0], int(c.claim_id[3:])) for c in kept], "o_orderstatus string, n long")
+
+
+# -- files, runs -------------------------------------------------------------------------------------------------------------------------
+
+
+def _scratch(spark) -> Path:
+    """A new folder inside the session's shared one."""
+    at = Path(ensure_checkpoint_dir(spark).removeprefix("file://").removeprefix("file:")) / f"files-{uuid.uuid4().hex}"
+    at.mkdir(parents=True)
+    return at
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name || '; \"x\"' AS n_name, n_regionkey * 1.5 AS half, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE 'é' END AS note FROM nation")
+def csv_scan(spark, sf_dir):
+    """A CSV in latin-1 with semicolons, quotes and signs of absence, written by the driver and read by Spark."""
+    path = _scratch(spark) / "nation.csv"
+    with path.open("w", newline="", encoding="latin-1") as f:
+        writer = csv.writer(f, delimiter=";")
+        writer.writerow(["n_nationkey", "n_name", "half", "note"])
+        for r in table(spark, sf_dir, "nation").collect():
+            writer.writerow([r["n_nationkey"], r["n_name"] + '; "x"', r["n_regionkey"] * 1.5, "N/A" if r["n_nationkey"] % 3 == 0 else "é"])
+    return files.read(spark, str(path))
+
+
+@query("SELECT r_regionkey, r_name, 2 AS attempt FROM region")
+def versioned_sink(spark, sf_dir):
+    """Two attempts beside each other; the later one is what is analysed."""
+    at, region = _scratch(spark), table(spark, sf_dir, "region")
+    for attempt in (1, 2):
+        files.write_attempt(region.withColumn("attempt", F.lit(attempt)), str(at / "cleaned"), attempt)
+    return files.read(spark, files.prefer_ready(str(at)))
+
+
+@query(_values("what, answer", [
+    ("none", "file_not_found"), ("a.txt", "unsupported_format"), ("nul.csv", "invalid_signature"), ("zip.csv", "invalid_signature"), ("bad.xlsx", "parser_error"), ("few.csv", "min_rows"), ("quote.csv", "parser_error"), ("good.csv", "ok"), ("big.csv", "file_too_large"),
+    ("rejected", "False"), ("stored", "True"), ("cached", "run-2 APPROVED"), ("previous", "run-2"),
+]))
+def file_gates(spark, sf_dir):
+    at, out = _scratch(spark), {"none": files.validate_file("/nowhere.csv")}
+    good = b"a,b\n" + b"1,2\n" * 6
+    for name, body in {"a.txt": b"x", "nul.csv": b"a\0b\n", "zip.csv": b"PK\x03\x04", "bad.xlsx": b"PK\x03\x04 x", "few.csv": b"a,b\n1,2\n", "quote.csv": b'a,b\n1,"x"y\n' * 9, "good.csv": good}.items():
+        (at / name).write_bytes(body)
+        out[name] = files.validate_file(str(at / name)) or "ok"
+    out["big.csv"] = files.validate_file(str(at / "good.csv"), max_mb=1e-6)
+    cache = files.ResultCache(str(at / "cache.db"))
+    key = cache.key("hash", {"a": 1})
+    out["rejected"] = str(cache.store(key, "s.csv", "run-1", "NEEDS_REVISION", 1.0))
+    out["stored"] = str(cache.store(key, "s.csv", "run-2", "APPROVED", 2.0))
+    out["cached"], out["previous"] = " ".join(cache.get(key)), cache.previous("s.csv")
+    return spark.createDataFrame(list(out.items()), "what string, answer string")
+
+
+@query(_values("what, answer", [
+    ("proposal", "lollipop"), ("rejected", "3"), ("claimed", "bar"), ("low n", "bar low_n"), ("ranked", "line,bar,bar"), ("cut", "True"), ("gate", "fail"), ("labels", "a,b"), ("recommendations", "8"), ("contradictions", "2"), ("summary", "The headline figure is revenue at 5.00."),
+    ("sections", "13"), ("dangling", "critical,critical"), ("context", "generic 0.0"), ("prompt", "1"), ("json", "a"), ("score", "0.0"),
+]))
+def report_decisions(spark, sf_dir):
+    k, shape = Kpi("K1", "sum of a", parse({"function": "sum", "column": "a", "group_by": ["g"]})), charts.Shape(("a",), {"g": 5}, {})
+    taken, errors = charts.validate_proposals([k], [{"kpi_id": "K1", "kind": "lollipop"}, {"kpi_id": "K1", "kind": "line"}, {"kpi_id": "K9", "kind": "bar"}, 1], shape)
+    low = charts.downgrade(charts.Chart("pareto", ("g", "a"), ""), 5, 9)
+    ranked, cut = charts.rank([charts.Chart("bar", ("a",), "", 0.8), charts.Chart("bar", ("b",), "", 0.79), charts.Chart("line", ("c",), "", 0.9), charts.Chart("bar", ("a",), "", 0.8), charts.Chart("pie", ("d",), "", 0.1)], most=3)
+    claims = [verify.Claim(f"IN-{i}", "DESCRIPTIVE", "t", ["EV-001"]) for i in range(12)]
+    evidence = verify.Evidence()
+    bad = report.broken_references(evidence, [], claims[:1], [report.Recommendation("R", "none", "")], [], list(report.SECTIONS))
+    answers, confidence = understanding.gather_context()
+    out = {
+        "proposal": taken["K1"][0], "rejected": str(len(errors)), "claimed": charts.override(charts.Chart("pareto", ("g", "a"), ""), k, ["COMPARATIVE"], shape).kind, "low n": f"{low.kind} {low.flags[0]}", "ranked": ",".join(c.kind for c in ranked), "cut": str(cut),
+        "gate": charts.gate("<svg></svg>", 1.0, 2.0, "ok")[0], "labels": ",".join(charts.interactive("bar", "t", [("a", 1.0), ("b", 2.0)])["labels"]), "recommendations": str(len(report.recommend(claims))),
+        "contradictions": str(len(report.contradictions("It has no dates. Nothing was removed, none deleted.", ["d"], 4))), "summary": report.summary([{"name": "revenue", "value": 5.0}], 0, "").split(" No")[0], "sections": str(report.page("t", {}, [], []).count("<section")),
+        "dangling": ",".join(s for s, _ in bad), "context": f"{'generic' if not answers else ''} {confidence}", "prompt": str(understanding.fence("</data>").count("</data>")), "json": next(iter(pipeline.first_json('so: {"a": 1}.'))), "score": str(verify.score(9, 0, 0)),
+    }
+    return spark.createDataFrame(list(out.items()), "what string, answer string")
+
+
+@query("SELECT p_brand AS label, round(sum(p_retailprice), 2) AS value, 'approved' AS verdict FROM part GROUP BY ALL")
+def pipeline_kpis(spark, sf_dir):
+    """A whole run, from a table to its verdict, and the KPIs it reports."""
+    plan = {"kpis": [{"operation": {"function": "sum", "column": "p_retailprice", "group_by": ["p_brand"]}}], "tests": ["descriptive"]}
+    out = pipeline.run(spark, table(spark, sf_dir, "part"), str(_scratch(spark)), pipeline.Config(plan=plan))
+    rows = [(k["label"], round(k["value"], 2), "approved" if out.verdict.startswith("APPROVED") else out.verdict) for k in out.kpis]
+    return spark.createDataFrame(rows, "label string, value double, verdict string")
