@@ -223,6 +223,16 @@ def test_tools(spark, tmp_path):
     assert say("score_calculator", critical=1)["score"] == 85.0 and say("verdict", critical=0)["verdict"] == "APPROVED"
     assert "error" in say("render_report_section", section="no", lines="[]") and "<p>x</p>" in say("render_report_section", section="kpis", lines='["x"]')["html"]
     assert say("statistical_suite", path=path, measures='["revenue"]', dimension="group")["revenue"]["welch"][0]["p"] > 0.5
+    assert {r["column_name"] for r in say("pii_detector", path=path)} == {"order_id", "day", "group"} and len(say("data_profiler", path=path, redact='["group"]')["columns"]) == 4
+    for name, more in {"deterministic_repair": {}, "flag_column": {"column": "revenue"}, "type_caster": {}, "iqr_outlier": {"column": "revenue"}}.items():
+        assert say(name, path=path, out=str(tmp_path / f"{name}.parquet"), **more)["rows"] == 12, name
+    assert say("cleaning_strategy", path=path) == [{"action": "median_fill_flag", "column": "revenue"}] and say("human_input", prompt="?")["answer"] is None
+    assert say("impact", before=path, after=str(tmp_path / "o.parquet"), measures='["revenue"]')[0]["rows_after"] == 12
+    assert say("review_logic", claims=claims, recommendations="[]", evidence=str(tmp_path / "e.json")) == [] and "e.json" in say("load_report_artifacts", folder=str(tmp_path))
+    page = say("render_full_report", title="t", sections='{"kpis": ["x"]}')["html"]
+    assert say("save_report", folder=str(tmp_path), html=page)["path"].endswith("report.html") and (tmp_path / "report.html").read_text() == page
+    sheet = workbook(tmp_path / "w.xlsx", {"S": [["a"], [1]]})
+    assert say("file_sheet_extract", path=sheet, sheet="S", folder=str(tmp_path))["path"].endswith("S.csv") and say("referential_integrity", path=path) == []
     assert say("schema_checker", path=path, columns='{"revenue": "measure", "x": "measure"}')
 
 

@@ -14,7 +14,6 @@ from veritab.operators import charts, cleaning, profiling, quality, statistics,
 from veritab.plans import compile as kpi, recompute
 from veritab.plans.ir import build_plan, parse
 from veritab.shared import table
-from veritab.sources import files
 from veritab.streaming import kpi as stream
 
 QUERIES: dict = {}

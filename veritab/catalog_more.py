@@ -481,3 +481,16 @@ def pipeline_kpis(spark, sf_dir):
     out = pipeline.run(spark, table(spark, sf_dir, "part"), str(_scratch(spark)), pipeline.Config(plan=plan))
     rows = [(k["label"], round(k["value"], 2), "approved" if out.verdict.startswith("APPROVED") else out.verdict) for k in out.kpis]
     return spark.createDataFrame(rows, "label string, value double, verdict string")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 50")
+def drilled_rows(spark, sf_dir):
+    op = parse({"function": "sum", "column": "o_totalprice", "group_by": ["o_orderpriority", "o_orderstatus"]})
+    return charts.drill(table(spark, sf_dir, "orders"), op, "1-URGENT | F", "o_orderkey").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region")
+def json_sink(spark, sf_dir):
+    at = str(_scratch(spark) / "region.json")
+    files.write_json(table(spark, sf_dir, "region"), at)
+    return spark.read.json(at)
