@@ -83,7 +83,7 @@ def summary(shown: list[dict], failures: int, note: str) -> str:
     return " ".join(t for t in (lead, quality, note, "Read the full report for the evidence behind each statement.") if t)
 
 
-# words that deny something within a sentence, and what they may deny
+#: Words that deny something within a sentence, and what they may deny.
 _NO = r"\b(?:lack\w*|no|none|without|absent)\b"
 _TIME = r"\b(?:time[- ‐-―]?stamp\w*|dates?|temporal (?:data|columns?))\b"
 
