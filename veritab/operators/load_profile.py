@@ -15,8 +15,10 @@ they can be stored for each part or day and merged later.
 The sums give a bound from below: the largest difference of two cumulative shares is at least the difference of the means over
 the common range (``least_distance``).  They can't bound it from above, so the exact distance from the cells decides.
 
-A reference with more than ``MAX_BOUNDS`` distinct values of a column is cut at ``QUANTILES`` of its values instead; then a distance is
-exact to within ``distance_error``, the largest share of the reference that lies inside one interval.
+A reference with more than ``MAX_BOUNDS`` distinct values of a column is cut at ``QUANTILES`` of its values instead.  Cells between two
+of them then keep their numbers, and where a number inside an interval may lie further from the reference than the interval's ends,
+it is placed among the reference's values there (``_gaps_inside``).  So the distance is exact for a reference of any size;
+``distance_error``, the largest share of the reference inside one interval, is what the ends alone would leave open.
 
 Defined results: a load without present values has no shift; a reference without present values gives no shift either, an empty one has
 shares of 0 and no known category;
@@ -62,7 +64,7 @@ def _blank(text: Column) -> Column:
 
 @dataclass
 class Reference:
-    """What loads are measured by; its size is bounded by MAX_BOUNDS for each numeric column."""
+    """What loads are measured by; what the driver holds of it is bounded by MAX_BOUNDS for each numeric column."""
 
     checks: tuple[Check, ...]
     known: DataFrame  # (column_name, text, ref_n) of categories
@@ -70,6 +72,8 @@ class Reference:
     upto: dict[str, list[int]] = field(default_factory=dict)  # reference values in the cells up to each one, from cell -1 on
     facts: dict[str, dict] = field(default_factory=dict)
     error: dict[str, float] = field(default_factory=dict)
+    inside: DataFrame | None = None  # (i_column, i_cell, i_values, i_upto) of intervals that hold reference values, if a column was cut
+    most_inside: int = 0  # reference values in one interval
 
 
 def _read(df: DataFrame, c: Check) -> tuple[Column, Column, Column, Column]:
@@ -86,8 +90,11 @@ def _read(df: DataFrame, c: Check) -> tuple[Column, Column, Column, Column]:
     return absent, day.isNull(), F.datediff(F.to_date(F.col(c.until)), day).cast("double"), none.cast("string")
 
 
-def _cells(df: DataFrame, load: str, checks: tuple[Check, ...], bounds: dict[str, list[float]] | None = None) -> DataFrame:
-    """(load, column, kind, absent, bad, number, text, cell): one row per stored value."""
+def _cells(df: DataFrame, load: str, checks: tuple[Check, ...], bounds: dict[str, list[float]] | None = None, kept: dict[str, list[int] | None] | None = None) -> DataFrame:
+    """(load, column, kind, absent, bad, number, text, cell, value): one row per stored value.
+
+    ``value`` is the number in an interval of a ``kept`` column, if the cumulative reference counts given for it grow there.
+    """
     cols = []
     for i, c in enumerate(checks):
         absent, bad, number, text = _read(df, c)
@@ -96,8 +103,13 @@ def _cells(df: DataFrame, load: str, checks: tuple[Check, ...], bounds: dict[str
     rows = df.select(F.col(load).cast("long").alias("load_id"), *cols)
     for i, c in enumerate(checks):
         rows = _placed(rows, f"x{i}", f"c{i}", (bounds or {}).get(c.column)) if c.kind != "category" and bounds else rows.withColumn(f"c{i}", F.lit(None).cast("int"))
+        within = F.lit(False)
+        if c.column in (kept or {}):
+            cell, upto = F.col(f"c{i}"), kept[c.column]
+            within = (cell % 2 != 0) & (F.lit(True) if upto is None else F.get(_longs(upto, "long"), cell + 2) > F.get(_longs(upto, "long"), cell + 1))
+        rows = rows.withColumn(f"v{i}", F.when(within, F.col(f"x{i}")))
     parts = [
-        F.struct(F.lit(c.column).alias("column_name"), F.lit(c.kind).alias("kind"), *[F.col(f"{k}{i}").alias(n) for k, n in zip("abxtc", ("absent", "bad", "number", "text", "cell"))])
+        F.struct(F.lit(c.column).alias("column_name"), F.lit(c.kind).alias("kind"), *[F.col(f"{k}{i}").alias(n) for k, n in zip("abxtcv", ("absent", "bad", "number", "text", "cell", "value"))])
         for i, c in enumerate(checks)
     ]
     return rows.select("load_id", F.explode(F.array(*parts)).alias("c")).select("load_id", "c.*")
@@ -109,23 +121,32 @@ def _longs(values: list, kind: str) -> Column:
 
 
 def _placed(df: DataFrame, number: str, out: str, bounds: list[float]) -> DataFrame:
-    """The index of the cell: 2k for the k-th bound itself, 2k+1 for the open interval above it; -1 below the first; null for null.
+    """The index of the cell: 2k for the k-th bound itself, 2k+1 for the open interval above it; -1 below the first; null for null."""
+    depth = len(bounds).bit_length()
+    arr = _longs([*bounds, *[float("inf")] * ((1 << depth) - 1 - len(bounds))], "double")
+    df = _reached(df, number, out, arr, depth)
+    at = F.col(out)
+    cell = F.when(at == 0, -1).when(F.get(arr, at - 1) == F.col(number), 2 * (at - 1)).otherwise(2 * (at - 1) + 1)
+    return df.withColumn(out, F.when(F.col(number).isNotNull(), cell))
+
+
+def _reached(df: DataFrame, number: str, out: str, arr: Column, depth: int) -> DataFrame:
+    """How many of fewer than 2**depth sorted values are at most the number.
 
     A binary search, one projection for each halving, so that it is compiled with the scan and needs no join.
     """
-    depth = len(bounds).bit_length()
-    arr = _longs([*bounds, *[float("inf")] * ((1 << depth) - 1 - len(bounds))], "double")
     df = df.withColumn(out, F.lit(0))
     for k in reversed(range(depth)):
         df = df.withColumn(out, F.when(F.get(arr, F.col(out) + F.lit((1 << k) - 1)) <= F.col(number), F.col(out) + F.lit(1 << k)).otherwise(F.col(out)))
-    at = F.col(out)
-    cell = F.when(at == 0, -1).when(F.get(arr, at - 1) == F.col(number), 2 * (at - 1)).otherwise(2 * (at - 1) + 1)
-    return df.withColumn(out, F.when(F.col(number).isNotNull(), cell))
+    return df
+
+
+#: What tells cells apart.
+KEYS = ("load_id", "column_name", "kind", "absent", "bad", "text", "cell", "value")
 
 
 def _counted(cells: DataFrame) -> DataFrame:
-    keys = ("load_id", "column_name", "kind", "absent", "bad", "text", "cell")
-    return cells.groupBy(*keys).agg(F.count("*").alias("n"), F.min("number").alias("low"), F.max("number").alias("high"), *power_sums(F.col("number")))
+    return cells.groupBy(*KEYS).agg(F.count("*").alias("n"), F.min("number").alias("low"), F.max("number").alias("high"), *power_sums(F.col("number")))
 
 
 def measure(reference: DataFrame, checks: tuple[Check, ...] = SALES_CHECKS) -> Reference:
@@ -133,7 +154,7 @@ def measure(reference: DataFrame, checks: tuple[Check, ...] = SALES_CHECKS) -> R
     ensure_checkpoint_dir(reference.sparkSession)
     one = reference.withColumn("_load", F.lit(0))
     plain = _cells(one, "_load", checks)
-    out = Reference(checks, plain.limit(0))
+    out, cut = Reference(checks, plain.limit(0)), []
     for c in [c.column for c in checks if c.kind != "category"]:
         values = plain.where((F.col("column_name") == c) & F.col("number").isNotNull()).select("number")
         rows = values.distinct().orderBy("number").limit(MAX_BOUNDS + 1).collect()
@@ -141,9 +162,10 @@ def measure(reference: DataFrame, checks: tuple[Check, ...] = SALES_CHECKS) -> R
             cuts = [k / (QUANTILES - 1) for k in range(QUANTILES)]
             found = values.agg(F.percentile_approx("number", _longs(cuts, "double"), 10 * QUANTILES)).first()[0]
             out.bounds[c] = sorted(set(found))
+            cut.append(c)
         else:
             out.bounds[c] = [r["number"] for r in rows] or [0.0]
-    counted = _counted(_cells(one, "_load", checks, out.bounds)).checkpoint()
+    counted = _counted(_cells(one, "_load", checks, out.bounds, dict.fromkeys(cut))).checkpoint()
     kind, ok = F.col("kind"), ~F.col("absent") & ~F.col("bad")
     out.known = counted.where((kind == "category") & ok).groupBy(F.col("column_name").alias("k_column"), F.col("text").alias("k_text")).agg(F.sum("n").alias("ref_n"))
     for c, values in out.bounds.items():
@@ -153,19 +175,26 @@ def measure(reference: DataFrame, checks: tuple[Check, ...] = SALES_CHECKS) -> R
         total = sum(n)
         out.error[c] = max(n[0::2], default=0) / total if total else 0.0
         out.upto[c] = [0, *accumulate(n)]
+        out.most_inside = max(out.most_inside, max(n[0::2]))
+    if cut:
+        values = counted.where(F.col("value").isNotNull()).groupBy(F.col("column_name").alias("i_column"), F.col("cell").alias("i_cell"), "value").agg(F.sum("n").alias("n"))
+        interval = Window.partitionBy("i_column", "i_cell").orderBy("value")
+        values = values.withColumn("upto", F.sum("n").over(interval.rowsBetween(Window.unboundedPreceding, 0)))
+        pairs = values.groupBy("i_column", "i_cell").agg(F.array_sort(F.collect_list(F.struct("value", "upto"))).alias("p"))
+        out.inside = pairs.select("i_column", "i_cell", F.col("p.value").alias("i_values"), F.concat(F.array(F.lit(0).cast("long")), F.col("p.upto")).alias("i_upto"))
     out.facts = {r["column_name"]: r.asDict() for r in _facts(counted).collect()}
     return out
 
 
 def cells_of(loads: DataFrame, ref: Reference, load: str = "load_id") -> DataFrame:
     """The counted cells of the loads; they can be stored, and merged with those of other parts."""
-    return _counted(_cells(loads, load, ref.checks, ref.bounds))
+    kept = {c: upto for c, upto in ref.upto.items() if ref.inside is not None and ref.error[c]}
+    return _counted(_cells(loads, load, ref.checks, ref.bounds, kept))
 
 
 def merge_cells(cells: DataFrame) -> DataFrame:
     """Cells of several parts added up."""
-    keys = ("load_id", "column_name", "kind", "absent", "bad", "text", "cell")
-    return cells.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), *merge_power_sums())
+    return cells.groupBy(*KEYS).agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), *merge_power_sums())
 
 
 def profile(loads: DataFrame, reference: DataFrame, load: str = "load_id", checks: tuple[Check, ...] = SALES_CHECKS) -> DataFrame:
@@ -314,16 +343,49 @@ def _distances(cells: DataFrame, ref: Reference) -> DataFrame:
         arr, here = _longs(upto, "long"), F.col("column_name") == c
         before, at = F.when(here, F.get(arr, F.col("cell") + 1)).otherwise(before), F.when(here, F.get(arr, F.col("cell") + 2)).otherwise(at)
     p, q = F.col("n") / F.col("own_all"), F.col("ref_n") / F.col("ref_all")
-    run, all_of = F.col("run"), F.col("own_all")
-    # inside an interval between two bounds the reference counts as it is at the bounds, see distance_error
-    gap = F.greatest(F.abs((run - F.col("n")) / all_of - before / F.col("ref_all")), F.abs(run / all_of - at / F.col("ref_all")))
-    found = rows.groupBy(F.col("load_id").alias("d_load"), F.col("column_name").alias("d_column"), "kind").agg(
-        F.max(gap).alias("gap"), F.sum(F.abs(p - q)).alias("apart"), F.sum(q).alias("shared")
+    rows = rows.withColumns({"before": before, "at": at}).withColumn("gap", _gap())
+    gaps = rows.select("load_id", "column_name", "kind", "gap", F.abs(p - q).alias("apart"), q.alias("shared"))
+    if ref.inside is not None:
+        gaps = gaps.unionByName(_gaps_inside(cells.where(ok), rows, ref), allowMissingColumns=True)
+    found = gaps.groupBy(F.col("load_id").alias("d_load"), F.col("column_name").alias("d_column"), "kind").agg(
+        F.max("gap").alias("gap"), F.sum("apart").alias("apart"), F.sum("shared").alias("shared")
     )
     # what the reference has beyond the load's own values
     return found.select("d_load", "d_column", F.when(F.col("kind") == "category", (F.col("apart") + 1 - F.col("shared")) / 2).otherwise(F.col("gap")).alias("distance"))
 
 
+def _gap() -> Column:
+    """The larger difference of the cumulative shares just before a cell and at it."""
+    run, n, own, ref = (F.col(c) for c in ("run", "n", "own_all", "ref_all"))
+    return F.greatest(F.abs((run - n) / own - F.col("before") / ref), F.abs(run / own - F.col("at") / ref))
+
+
+def _gaps_inside(cells: DataFrame, rows: DataFrame, ref: Reference) -> DataFrame:
+    """(load, column, kind, gap) at the load's numbers inside intervals, where one may exceed all gaps at the ends.
+
+    Both cumulative shares only grow from one end to the other, so their difference inside exceeds neither ``most``; an interval
+    where that is no more than the load's largest gap is left out, which changes no result.  The numbers of the others fall
+    into second cells, between two of the reference's values there or at one.
+    """
+    run, n, own, of = (F.col(c) for c in ("run", "n", "own_all", "ref_all"))
+    most = F.greatest(run / own - F.col("before") / of, F.col("at") / of - (run - n) / own)
+    wide = rows.withColumn("best", F.max("gap").over(Window.partitionBy("load_id", "column_name")))
+    wide = wide.where((F.col("cell") % 2 != 0) & (F.col("at") > F.col("before")) & (most > F.col("best")))
+    wide = wide.select(F.col("load_id").alias("w_load"), F.col("column_name").alias("w_column"), F.col("cell").alias("w_cell"), (run - n).alias("start"), F.col("before").alias("base"), "own_all", "ref_all")
+    inner = (
+        cells.where(F.col("value").isNotNull()).select("load_id", "column_name", "kind", "cell", "value", "n")
+        .join(wide, F.col("load_id").eqNullSafe(F.col("w_load")) & (F.col("column_name") == F.col("w_column")) & (F.col("cell") == F.col("w_cell")))
+        .join(ref.inside, (F.col("column_name") == F.col("i_column")) & (F.col("cell") == F.col("i_cell")))
+    )
+    inner = _reached(inner, "value", "k", F.col("i_values"), ref.most_inside.bit_length())
+    equal = F.coalesce(F.get("i_values", F.col("k") - 1) == F.col("value"), F.lit(False))
+    upto = lambda k: F.col("base") + F.get("i_upto", k)
+    inner = inner.withColumns({"before": upto(F.col("k") - equal.cast("int")), "at": upto(F.col("k"))})
+    inner = inner.groupBy("load_id", "column_name", "kind", "cell", "start", "own_all", "ref_all", "before", "at").agg(F.sum("n").alias("n"))
+    cell = Window.partitionBy("load_id", "column_name", "cell").orderBy("before", "at").rowsBetween(Window.unboundedPreceding, 0)
+    return inner.withColumn("run", F.col("start") + F.sum("n").over(cell)).select("load_id", "column_name", "kind", _gap().alias("gap"))
+
+
 def departures(
     profiled: DataFrame, checks: tuple[Check, ...] = SALES_CHECKS, missing: float = 0.10, invalid: float = 0.10,
     category_shift: float = 0.15, number_shift: float = 0.20,
